@@ -26,14 +26,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and each text's first word (n + 1 numbers).
 
-    A word is a run of bytes that are not ASCII white space, A-Z lower-cased.
+    A word is a run of bytes that are not ``gaps`` (ASCII white space), A-Z lower-cased.
     """
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[raw]
+    solid = ~gaps[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]

@@ -8,13 +8,19 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
 from .common import spans_of
 
-#: At so many words the table of known words starts anew.
-MOST_WORDS = 500_000
+#: At so many words, or pieces of words, a table of known ones starts anew.
+MOST_WORDS, MOST_PIECES = 600_000, 1_200_000
+#: Marks that may follow the letters of a plain word; each is a piece of its own.
+_MARKS = frozenset(".,;:!?")
+#: Letters whose lower case depends on what follows, or takes two code points.
+_ODD_CASE = re.compile("[\u03a3\u0130]")
 #: Code points that str.split takes for white space and the tokenizer's pattern may not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -49,32 +55,58 @@ class WordTokenizer:
         return WordTokenizer(file)
 
     def _clear(self) -> None:
-        self.numbers = _Numbers()
+        self.pieces = _Numbers()
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
-        self.words = self.used = 0
+        self.known = self.used = 0
+        self.pieces[""]  # piece 0 has no ids
+        self._clear_words()
+
+    def _clear_words(self) -> None:
+        self.words = _Numbers()
+        self.parts = np.zeros((1 << 16, 2), np.int64)
+        self.split = 0
+
+    def _pieces_of(self, word: str) -> tuple[int, int]:
+        """A plain word's letters in lower case and its mark; of other words the whole."""
+        letters, mark = (word[:-1], word[-1]) if word[-1] in _MARKS else (word, "")
+        if letters.isalpha() and (letters.isascii() or is_normalized("NFC", letters) and not _ODD_CASE.search(letters)):
+            return self.pieces[letters.lower()], self.pieces[mark]
+        return self.pieces[word], 0
 
     def _learn(self) -> None:
-        new = self.numbers.new
+        """Splits the new words, and encodes the new pieces."""
+        new = self.words.new
+        while self.split + len(new) > len(self.parts):
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+        if new:
+            self.parts[self.split : self.split + len(new)] = np.fromiter(chain.from_iterable(map(self._pieces_of, new)), np.int64, 2 * len(new)).reshape(-1, 2)
+            self.split += len(new)
+            new.clear()
+        new = self.pieces.new
+        if not new:
+            return
         found = [e.ids for e in self.inner.encode_batch_fast(new, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        while self.words + len(new) > len(self.sizes):
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        while self.known + len(new) > len(self.sizes):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        at = slice(self.words, self.words + len(new))
+        at = slice(self.known, self.known + len(new))
         self.sizes[at] = sizes
         self.starts[at] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(flat)] = flat
-        self.words, self.used = at.stop, self.used + len(flat)
+        self.known, self.used = at.stop, self.used + len(flat)
         new.clear()
 
     def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
         """The ids (uint32) of each text, with ``end_id`` after them if one is given."""
-        if self.words > MOST_WORDS:
+        if len(self.pieces) > MOST_PIECES:
             self._clear()
+        elif len(self.words) > MOST_WORDS:
+            self._clear_words()
         out: list[np.ndarray | None] = [None] * len(texts)
         end = [] if end_id is None else [end_id]
         plain = []
@@ -83,16 +115,16 @@ class WordTokenizer:
                 out[i] = np.array(self.inner.encode(text, add_special_tokens=False).ids + end, np.uint32)
             else:
                 plain.append(i)
-        number = self.numbers.__getitem__
+        number = self.words.__getitem__
         rows = [list(map(number, texts[i].split())) for i in plain]
-        if self.numbers.new:
-            self._learn()
+        self._learn()
         for i, row in zip(plain, rows, strict=True):
-            words = np.array(row, np.int64)
-            sizes = self.sizes[words]
+            pieces = self.parts[np.array(row, np.int64)].ravel()
+            pieces = pieces[pieces > 0]
+            sizes = self.sizes[pieces]
             total = int(sizes.sum())
             ids = np.empty(total + len(end), np.uint32)
-            ids[:total] = self.ids[np.repeat(self.starts[words], sizes) + spans_of(sizes)]
+            ids[:total] = self.ids[np.repeat(self.starts[pieces], sizes) + spans_of(sizes)]
             ids[total:] = end
             out[i] = ids
         return out

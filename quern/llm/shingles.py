@@ -31,8 +31,17 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE)
 
     A word is a run of bytes that are not ``gaps`` (ASCII white space), A-Z lower-cased.
     """
+    hashes, first, _ = beginnings(raw, offsets, (0,), gaps)
+    return hashes[0], first
+
+
+def beginnings(raw: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], gaps: np.ndarray = _SPACE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each of ``sizes`` the hashes of all words' first so many bytes (0: whole words).
+
+    Also each text's first word (n + 1 numbers), and the words' lengths.
+    """
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return [np.zeros(0, np.uint64) for _ in sizes], np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     solid = ~gaps[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -46,8 +55,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE)
     up, down = _power(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_LOWER[raw].astype(np.uint64) * up, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(hashes + (ends - starts).astype(np.uint64) * _SEEDS[63]), np.searchsorted(starts, offsets)
+    base, scale, out = sums[starts], down[starts], []
+    for most in sizes:
+        to = np.minimum(ends, starts + most) if most else ends
+        out.append(mix64((sums[to] - base) * scale + (to - starts).astype(np.uint64) * _SEEDS[63]))
+    return out, np.searchsorted(starts, offsets), ends - starts
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:

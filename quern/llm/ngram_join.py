@@ -35,13 +35,13 @@ from .shingles import shingle_sets
 #: Sets of 4**b to 4**(b+1) shingles are band b; its partitions are as many as its largest set has shingles.
 #: Small sets get more, so that their shingles stand in partitions of their own.
 BAND_BITS = 2
-#: Slots of the table of shingle counts (one byte each once it is made).
-COUNT_BITS = 18
+#: Slots of the table of shingle counts, one byte each.
+COUNT_BITS = 22
 #: Bits of the filter that spares documents which share no signature.
 FILTER_BITS = 23
 #: Signatures that a mapper holds before it deals them out, and buckets for each shuffle partition.
 HELD, BUCKETS = 1 << 20, 4
-_BLOCK = 1 << 14
+_BLOCK = 1 << 16
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,37 +59,53 @@ def _key(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of about n / 4 ranges of hashes, modulo 256."""
+    bits = max(4, (len(shingles) >> 2).bit_length())
+    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference of two sets, from their sketches."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    d = x.reshape(size, -1).sum(axis=1, dtype=np.uint8) - y.reshape(size, -1).sum(axis=1, dtype=np.uint8)
+    return int(np.minimum(d, -d).sum())
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, then this task's counts of shingles in blocks."""
-    names = ["doc_id", "n", "name", "key", "block", "counts"]
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    names, kinds = ["doc_id", "n", "name", "key", "sketch", "block", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    counts = np.zeros(1 << COUNT_BITS, np.uint32)
     for batch in batches:
-        ids, sizes, named = [], [], []
+        rows = []
         for doc, s in _sets(batch):
-            ids.append(doc)
-            sizes.append(len(s))
-            named.append(class_of(s) if len(s) else None)
-            np.add.at(counts, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(named, pa.binary()), pa.array([x and _key(x) for x in named], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-    blocks = [(i, c.astype(np.int32)) for i, c in enumerate(counts.reshape(-1, _BLOCK)) if c.any()]
-    n = len(blocks)
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([c.tobytes() for _, c in blocks], pa.binary())], names=names)
+            name = class_of(s) if len(s) else None
+            rows.append((doc, len(s), name, name and _key(name), name and sketch(s), None, None))
+            np.add.at(counts, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds, strict=True)], names=names)
+    few = np.minimum(counts, 255).astype(np.uint8).reshape(-1, _BLOCK)
+    rows = [(None, None, None, None, None, i, c.tobytes()) for i, c in enumerate(few) if c.any()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds, strict=True)], names=names)
 
 
 def _summed(frame: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(_BLOCK, np.int64)
     for c in frame["counts"]:
-        total += np.frombuffer(c, np.int32)
-    return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.tobytes()]})
+        total += np.frombuffer(c, np.uint8)
+    return pd.DataFrame({"block": frame["block"].iloc[:1], "total": [int(total.sum())], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
 
 
 def heat_table(described: DataFrame) -> np.ndarray:
-    """For each slot, how many doublings its count lies above the mean (0: at most the mean)."""
-    counts = np.zeros(1 << COUNT_BITS, np.float64)
-    for row in described.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_summed, "block int, counts binary").toLocalIterator():
-        counts[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["counts"], np.int64)
-    return np.clip(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1)), 0, 255).astype(np.uint8)
+    """For each slot, how many half doublings its count lies above the mean (0: at most the mean)."""
+    made = described.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_summed, "block int, total long, counts binary")
+    made = Stored(made, "counts").df
+    mean = max(1.0, (made.agg(F.sum("total")).collect()[0][0] or 0) / (1 << COUNT_BITS))
+    heat = np.zeros(1 << COUNT_BITS, np.uint8)
+    for row in made.toLocalIterator():
+        counts = np.frombuffer(row["counts"], np.uint32)
+        heat[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.clip(2 * np.log2(np.maximum(counts, 1) / mean), 0, 255)
+    return heat
 
 
 def bands_of(n: int) -> list[int]:
@@ -240,12 +256,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The true links among pairs (u, v) of class representatives."""
-    near = pairs.select(F.col("u"), F.col("v")).join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"), F.length("shingles").alias("la")), "u")
-    near = near.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"), F.length("shingles").alias("lb")), "v")
-    near = near.where("100 * least(la, lb) >= 75 * greatest(la, lb)")
-    return near.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches do not rule out: similar sets differ in at most a seventh of both sizes."""
+    for batch in batches:
+        ok = [7 * least_difference(a, b) <= n for a, b, n in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n")), strict=True)]
+        mask = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
+
+
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The true links among pairs (u, v) of class representatives, stored."""
+    near = pairs.join(classes.select(F.col("rep").alias("u"), F.col("sketch").alias("a"), F.col("n").alias("na")), "u")
+    near = near.join(classes.select(F.col("rep").alias("v"), F.col("sketch").alias("b"), F.col("n").alias("nb")), "v")
+    near = near.where("100 * least(na, nb) >= 75 * greatest(na, nb)").select("u", "v", "a", "b", (F.col("na") + F.col("nb")).alias("n"))
+    near = Stored(near.mapInArrow(_possible, "u long, v long"), "possible").df
+    wanted = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in wanted.mapInArrow(_slots, "block int, bits binary").groupBy("block").applyInPandas(_either, "block int, bits binary").toLocalIterator():
+        bits[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    if not bits.any():
+        return near
+    passed = docs.mapInArrow(_wanted(docs.sparkSession.sparkContext.broadcast(bits.tobytes())), "doc_id long, shingles binary")
+    sets = Stored(passed.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "shingles").df
+    both = near.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+    return Stored(both.mapInArrow(_verify, "u long, v long"), "links").df
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -259,43 +293,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = Stored(docs.mapInArrow(_describe, "doc_id long, n long, name binary, key long, block int, counts binary"), "sets").df
+    described = Stored(docs.mapInArrow(_describe, "doc_id long, n long, name binary, key long, sketch binary, block int, counts binary"), "sets").df
     heat = spark.sparkContext.broadcast(heat_table(described).tobytes())  # 2**COUNT_BITS bytes at any size of input
-    rows = described.where("block is null").select("doc_id", "n", "name", "key")
+    rows = described.where("block is null").select("doc_id", "n", "name")
 
-    classes = rows.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.count(F.lit(1)).alias("copies"))
-    classes = Stored(classes, "classes")
-    keyed = classes.df.select("rep", "key")
+    classes = described.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    classes = Stored(classes, "classes").df
 
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.mapInArrow(_deal(heat, buckets), "bucket int, blob binary").repartition("bucket")
     lists = Stored(dealt.mapInArrow(_lists, "list long, key long"), "lists").df
-    members = Stored(lists.distinct().join(keyed, "key").select("list", "rep"), "members").df
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in wanted.mapInArrow(_slots, "block int, bits binary").groupBy("block").applyInPandas(_either, "block int, bits binary").toLocalIterator():
-        bits[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
-    passed = docs.mapInArrow(_wanted(spark.sparkContext.broadcast(bits.tobytes())), "doc_id long, shingles binary")
-    sets = Stored(passed.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "shingles").df
+    members = Stored(lists.distinct().join(classes.select("key", "rep", "n"), "key").select("list", "rep", "n"), "members").df
 
     heads = Stored(members.groupBy("list").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")), "heads").df
     first = members.join(heads, "list").where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()
-    links = Stored(_links(first, sets), "links").df
+    links = _links(docs, first, classes)
     known = Stored(components(links), "known").df.withColumnRenamed("u", "rep")
 
     # Lists whose members lie in several components: compare across them, but for the least member.
-    told = members.join(heads.where("size > 2"), "list").where("rep <> head").join(known, "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("component"))
+    told = members.join(heads.where("size > 2"), "list").where("rep <> head").join(known, "rep", "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("component"))
     told = Stored(told, "told").df
     sizes = told.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
     main = Stored(sizes.groupBy("list").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", F.col("m.component").alias("main")), "main").df
-    split = told.join(main, "list")
-    others = split.where("component <> main").select("list", F.col("rep").alias("u"), F.col("component").alias("cu"))
-    across = others.join(split.select("list", F.col("rep").alias("v"), F.col("component").alias("cv"), "main"), "list").where("cu <> cv and (cv = main or u < v)")
-    more = Stored(_links(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets), "links").df
+    split = Stored(told.join(main, "list"), "split").df
+    others = split.where("component <> main").select("list", F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"))
+    across = others.join(split.select("list", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), "main"), "list")
+    across = across.where("cu <> cv and (cv = main or u < v) and 100 * least(nu, nv) >= 75 * greatest(nu, nv)")
+    more = _links(docs, across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), classes)
     if not more.isEmpty():
         known = Stored(components(links.unionByName(more)), "known").df.withColumnRenamed("u", "rep")
 
-    copies = Stored(classes.df.where("copies > 1").select("name", "rep"), "copies").df
+    copies = Stored(classes.where("copies > 1").select("name", "rep"), "copies").df
     out = rows.join(copies, "name", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(known, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 

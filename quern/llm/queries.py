@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, pii, secrets, topk_search, toxicity
+from . import exact_dedup, html_text, language_id, mixing, ngram_join, packing, pii, secrets, topk_search, toxicity
 from .common import table
 
 #: File name of the vocabulary that documents are packed with.
@@ -41,6 +41,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_exact_dedup, op4_ngram_join, op5_packing, op7_pii, op8_secrets, op9_language_id, op10_topk_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_exact_dedup, op4_ngram_join, op5_packing, op6_html_text, op7_pii, op8_secrets, op9_language_id, op10_topk_search)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """

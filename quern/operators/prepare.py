@@ -110,7 +110,7 @@ def expanded(answer: Column) -> Column:
 
 def route(answer: Column) -> Column:
     """Labels of a generated route, separated by full-width commas, trimmed and distinct."""
-    return F.array_distinct(F.filter(F.transform(F.split(answer, "，"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(answer, "，"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 #: Answers that name no domain.

@@ -17,7 +17,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     Files are read whole by the executors.  Only text formats are decoded here;
     office formats need a parser, which ``parsed_documents`` takes as a function.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     return raw.select(name.alias("file_path"), suffix_of(name).alias("suffix"), F.col("value").alias("text"))
 
@@ -41,7 +41,7 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     """file_path, header, line_no (from 0) and line of every data line that is not blank."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
     lines = F.filter(F.transform(F.split("value", r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     split = raw.select("file_path", lines.alias("lines")).where(F.size("lines") > 0)
     return split.select("file_path", F.element_at("lines", 1).alias("header"), F.posexplode(F.expr("slice(lines, 2, size(lines))")).alias("line_no", "line"))

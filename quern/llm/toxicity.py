@@ -30,7 +30,7 @@ LEXICON = ("idiot moron stupid loser pathetic worthless scum trash disgusting cl
 #: Bytes of word beginnings that may become voters (0: the whole word).
 PREFIXES = (0, 4, 5, 6, 7, 8, 9)
 #: Bounds of training: labelled rows, unlabelled rows, induced voters.
-LABELLED, UNLABELLED, INDUCED = 9000, 2000, 300
+LABELLED, UNLABELLED, INDUCED = 8000, 1500, 300
 #: Accuracy of a given label as a voter.
 LABEL_ACCURACY = 0.98
 _GAPS = np.ones(256, bool)
@@ -101,7 +101,7 @@ class Model:
 
 def features(votes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Votes and the logarithm of the length: a voter tells less in a long text."""
-    return np.concatenate([votes, np.log1p(np.diff(offsets))[:, None] / 10], axis=1)
+    return np.concatenate([votes, (np.log1p(np.diff(offsets))[:, None] / 10).astype(votes.dtype)], axis=1)
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, share: np.ndarray | float = 1.0, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, share: np.ndarray | float
     for _ in range(rounds):
         rates = np.stack([(votes.T @ (1 - q) + 0.05) / ((1 - q).sum() + 1), (votes.T @ q + 0.05) / (q.sum() + 1)], axis=1)
         rates = np.clip(rates, 1e-5, 1 - 1e-5)
-        prior = np.clip(q.mean(), 0.01, 0.5)
+        prior = np.clip(q.mean() if len(q) else 0.1, 0.01, 0.5)
         silent = share * np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
         log = np.log(prior / (1 - prior)) + silent.sum() + votes @ (share * np.log(rates[:, 1] / rates[:, 0]) - silent)
         log += np.where(told, np.log(known / (1 - known)), 0)
@@ -127,7 +127,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, share: np.ndarray | float
 
 def unrepeated(votes: np.ndarray, rates: np.ndarray, q: np.ndarray) -> np.ndarray:
     """1 / (1 + summed correlations with the other voters, given the posterior), for each voter."""
-    rest = votes - (np.outer(1 - q, rates[:, 0]) + np.outer(q, rates[:, 1]))
+    rest = votes - (np.outer(1 - q, rates[:, 0]) + np.outer(q, rates[:, 1])).astype(votes.dtype)
     norm = np.sqrt((rest**2).sum(axis=0)) + 1e-9
     correlation = np.maximum((rest.T @ rest) / np.outer(norm, norm), 0)
     np.fill_diagonal(correlation, 0)
@@ -136,7 +136,7 @@ def unrepeated(votes: np.ndarray, rates: np.ndarray, q: np.ndarray) -> np.ndarra
 
 def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.1, rounds: int = 15) -> tuple[np.ndarray, float]:
     """Weights and bias that fit soft labels, by Newton steps."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
     keep[-1] = 1e-6
     for _ in range(rounds):
@@ -148,36 +148,43 @@ def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.1, rounds: int = 1
     return w[:-1], float(w[-1])
 
 
-def induced(hashes: list[np.ndarray], first: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Marks that stand mostly in toxic labelled documents, the INDUCED strongest by likelihood ratio."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    toxic_rows, other_rows = labels[doc] == 1, labels[doc] == 0
-    names, toxic, other = [], [], []
+def _slices(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and offsets of runs of texts of about a megabyte, so that training needs little memory."""
+    column = pa.array(texts, pa.string())
+    for lo, hi in text_slices(column):
+        yield lo, *text_bytes(column.slice(lo, hi - lo))
+
+
+def _documents_with(raw: np.ndarray, offsets: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+    """Every mark once for each document that holds it, or those of ``only`` (sorted)."""
+    hashes, first = marks(raw, offsets)
+    doc, out = np.repeat(np.arange(len(first) - 1), np.diff(first)), []
     for words in hashes:
-        def documents(rows: np.ndarray, only: np.ndarray | None = None, words: np.ndarray = words) -> tuple[np.ndarray, np.ndarray]:
-            w, d = words[rows], doc[rows]
-            if only is not None:
-                at = np.searchsorted(only, w)
-                at[at == len(only)] = 0
-                w, d = w[only[at] == w], d[only[at] == w]
-            order = np.lexsort((d, w))
-            w, d = w[order], d[order]
-            fresh = np.ones(len(w), bool)
-            fresh[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-            return np.unique(w[fresh], return_counts=True)
-
-        w, n = documents(toxic_rows)
-        w, n = w[(n >= 4) & (w > 0)], n[(n >= 4) & (w > 0)]
-        if len(w):
-            seen, count = documents(other_rows, w)
-            m = np.zeros(len(w), np.int64)
-            m[np.searchsorted(w, seen)] = count
-            names.append(w)
-            toxic.append(n)
-            other.append(m)
-    if not names:
+        w, d = words, doc
+        if only is not None:
+            at = np.searchsorted(only, w)
+            at[at == len(only)] = 0
+            w, d = w[only[at] == w], d[only[at] == w]
+        order = np.lexsort((d, w))
+        w, d = w[order], d[order]
+        fresh = w > 0
+        fresh[1:] &= (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+        out.append(w[fresh])
+    return np.concatenate(out)
+
+
+def induced(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """Marks that stand mostly in toxic labelled documents, the INDUCED strongest by likelihood ratio."""
+    toxic = [_documents_with(*x) for _, *x in _slices([t for t, y in zip(texts, labels, strict=True) if y == 1])]
+    if not toxic:
         return np.zeros(0, np.uint64)
-    w, n, m = np.concatenate(names), np.concatenate(toxic), np.concatenate(other)
+    w, n = np.unique(np.concatenate(toxic), return_counts=True)
+    w, n = w[n >= 4], n[n >= 4]
+    if not len(w):
+        return w
+    m = np.zeros(len(w), np.int64)
+    for _, *x in _slices([t for t, y in zip(texts, labels, strict=True) if y == 0]):
+        np.add.at(m, np.searchsorted(w, _documents_with(*x, w)), 1)
     one, two = max((labels == 1).sum(), 1), max((labels == 0).sum(), 1)
     odds = np.log(((n + 0.5) / (one + 1)) / ((m + 0.5) / (two + 1)))
     gain = n * odds - np.maximum((n - m * one / two), 0)
@@ -187,13 +194,14 @@ def induced(hashes: list[np.ndarray], first: np.ndarray, labels: np.ndarray) ->
 
 def train(texts: list[str], labels: np.ndarray) -> Model:
     """The classifier from texts and labels 0, 1 or -1 (not known)."""
-    raw, offsets = text_bytes(pa.array(texts, pa.string()))
     fixed = np.array([_hash_of(w) for w in LEXICON], np.uint64)
-    model = Model(np.unique(np.concatenate([fixed, induced(*marks(raw, offsets), labels)])), np.zeros(0), 0.0)
-    votes = model.votes(raw, offsets)
+    model = Model(np.unique(np.concatenate([fixed, induced(texts, labels)])), np.zeros(0), 0.0)
+    parts = [(model.votes(raw, offsets).astype(np.float32), np.diff(offsets)) for _, raw, offsets in _slices(texts)] or [(np.zeros((0, 2 * len(model.voters) + _PATTERNS), np.float32), np.zeros(0, np.int64))]
+    votes, sizes = np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts
     rates, q = label_model(votes, labels)
     model.rates, q = label_model(votes, labels, unrepeated(votes, rates, q))
-    model.weights, model.bias = logistic(features(votes, offsets), q)
+    model.weights, model.bias = logistic(features(votes, np.concatenate([[0], np.cumsum(sizes)])), q)
     return model
 
 

@@ -13,8 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes, however long the texts are; plans made from now on use them."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory, opened by Spark's own reader."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +49,7 @@ class Stored:
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
+        small_batches(self.spark)
         self.path = f"{shared_dir(self.spark).rstrip('/')}/quern-{tag}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
 

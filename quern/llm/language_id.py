@@ -164,8 +164,10 @@ def fit(docs: DataFrame, per_language: int = 600, parts: int = 3) -> ByteNet | N
     """
     mix = F.xxhash64("doc_id")
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy("mix", "doc_id")
-    few = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), mix.alias("mix")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    few = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), mix.alias("mix")).withColumn("part", F.pmod("mix", F.lit(64)))
+    for keys in (["lang", "part"], ["lang"]):  # first in parts, so that a language of very many rows is no single task
+        order = Window.partitionBy(*keys).orderBy("mix", "doc_id")
+        few = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     chosen = [r["doc_id"] for r in few.select("doc_id").collect()]
     places = [F.substring(F.col("text"), (F.pmod(F.shiftright(F.xxhash64("doc_id"), 7 * i), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(parts)]
     rows = labelled.where(F.col("doc_id").isin(chosen)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.array(*places).alias("cuts")).collect() if chosen else []

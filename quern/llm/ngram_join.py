@@ -12,10 +12,12 @@ over the whole corpus, so passages that many documents share seldom become
 signatures.
 
 Equal sets are one class from the start.  Classes that share a signature form a
-list; every member is compared exactly with the list's least member, and after
-components are known only members of one list in different components are
-compared further.  So no list is expanded into all its pairs, and no link
-between two components is missed.
+list; every member is compared exactly with the list's least member.  Lists that
+then still lie in several components go to a task each (very long ones in blocks
+of BLOCK members, so that a task's memory is bounded): sketches first narrow them
+to groups that may hold a link, and each distinct group's sets are compared until
+it is one component or no pair is left.  So no list is expanded into rows for all
+its pairs, and no link between two components is missed.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ FILTER_BITS = 23
 #: Signatures that a mapper holds before it deals them out, and buckets for each shuffle partition.
 HELD, BUCKETS = 1 << 20, 4
 _BLOCK = 1 << 16
+#: Members of a list or group that one task compares with as many others.
+BLOCK = 512
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -89,17 +92,23 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds, strict=True)], names=names)
 
 
-def _summed(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(_BLOCK, np.int64)
-    for c in frame["counts"]:
-        total += np.frombuffer(c, np.uint8)
-    return pd.DataFrame({"block": frame["block"].iloc[:1], "total": [int(total.sum())], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of each block that reaches this task, one block's sum held for each."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, c in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            own = np.frombuffer(c, np.uint8 if len(c) == _BLOCK else np.uint32)
+            held[block] = held.get(block, 0) + own.astype(np.int64)
+    rows = [(b, int(c.sum()), np.minimum(c, (1 << 32) - 1).astype(np.uint32).tobytes()) for b, c in held.items()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["block", "total", "counts"])
 
 
 def heat_table(described: DataFrame) -> np.ndarray:
     """For each slot, how many half doublings its count lies above the mean (0: at most the mean)."""
-    made = described.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_summed, "block int, total long, counts binary")
-    made = Stored(made, "counts").df
+    kind = "block int, total long, counts binary"
+    parts = described.where("block is not null").select("block", "counts", F.floor(F.spark_partition_id() / 16).alias("part"))
+    made = parts.repartition("block", "part").mapInArrow(_totals, kind)  # in two steps, as each task has counted every block
+    made = Stored(made.repartition("block").mapInArrow(_totals, kind), "counts").df
     mean = max(1.0, (made.agg(F.sum("total")).collect()[0][0] or 0) / (1 << COUNT_BITS))
     heat = np.zeros(1 << COUNT_BITS, np.uint8)
     for row in made.toLocalIterator():
@@ -212,11 +221,13 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
 
 
-def _either(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(4096, np.uint8)
-    for b in frame["bits"]:
-        total |= np.frombuffer(b, np.uint8)
-    return pd.DataFrame({"block": frame["block"].iloc[:1], "bits": [total.tobytes()]})
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unions of the bits of each block that reaches this task."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, b in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            held[block] = held.get(block, 0) | np.frombuffer(b, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["block", "bits"])
 
 
 def _slot(ids: np.ndarray) -> np.ndarray:
@@ -240,22 +251,38 @@ def _wanted(bits):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least 75 in 100, counted exactly."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum()) if len(y) else 0
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets whose Jaccard similarity is at least 75 in 100, counted exactly."""
+    """The pairs whose sets are similar."""
     for batch in batches:
-        ok = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum()) if len(y) else 0
-            ok.append(100 * both >= 75 * (len(x) + len(y) - both))
-        mask = pa.array(ok, pa.bool_())
+        pairs = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
+        mask = pa.array([similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pairs], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """Shingle sets (doc_id, shingles) of the wanted documents, None if there are none.
+
+    A filter of fixed size spares most other documents; a join settles the rest.
+    """
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in wanted.mapInArrow(_slots, "block int, bits binary").repartition("block").mapInArrow(_either, "block int, bits binary").toLocalIterator():
+        bits[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    if not bits.any():
+        return None
+    passed = docs.mapInArrow(_wanted(docs.sparkSession.sparkContext.broadcast(bits.tobytes())), "doc_id long, shingles binary")
+    return Stored(passed.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "shingles").df
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that their sketches do not rule out: similar sets differ in at most a seventh of both sizes."""
     for batch in batches:
@@ -271,17 +298,113 @@ def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     near = near.where("100 * least(na, nb) >= 75 * greatest(na, nb)").select("u", "v", "a", "b", (F.col("na") + F.col("nb")).alias("n"))
     near = Stored(near.mapInArrow(_possible, "u long, v long"), "possible").df
     wanted = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in wanted.mapInArrow(_slots, "block int, bits binary").groupBy("block").applyInPandas(_either, "block int, bits binary").toLocalIterator():
-        bits[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
-    if not bits.any():
+    sets = _sets_of(docs, wanted)
+    if sets is None:
         return near
-    passed = docs.mapInArrow(_wanted(docs.sparkSession.sparkContext.broadcast(bits.tobytes())), "doc_id long, shingles binary")
-    sets = Stored(passed.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "shingles").df
     both = near.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
     return Stored(both.mapInArrow(_verify, "u long, v long"), "links").df
 
 
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows for each two blocks of a key's members, together in one task one after the other.
+
+    A key of up to BLOCK members has one block; a member of a longer one goes
+    to as many tasks as the key has blocks.
+    """
+    parts = Stored(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"), "parts").df
+    rows = rows.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("own", own).withColumn("other", other)
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "parts")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "rep")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each (key, i, j), whatever the batches' bounds."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in (key, "i", "j")])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            this = tuple(keys[:, a].tolist())
+            if this != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = this
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches at their least common resolution, one row each."""
+    size = min(map(len, sketches))
+    return np.stack([np.frombuffer(s, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.uint8) for s in sketches])
+
+
+def _maybe(x: np.ndarray, n: np.ndarray, i: int, among: np.ndarray) -> np.ndarray:
+    """Which of ``among`` the sizes and sketches do not rule out as similar to row i."""
+    among = among[100 * np.minimum(n[among], n[i]) >= 75 * np.maximum(n[among], n[i])]
+    d = x[among] - x[i]
+    return among[7 * np.minimum(d, -d).sum(axis=1, dtype=np.int64) <= n[among] + n[i]]
+
+
+class _Union:
+    def __init__(self, labels):
+        first: dict = {}
+        self.root = [first.setdefault(c, i) for i, c in enumerate(labels)]
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.find(i) for i in range(len(self.root))])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, rep, component): members of a list that chains of possible links across components join."""
+    for rows in _runs(batches, "list"):
+        component, rep, n = (rows.column(c).to_numpy() for c in ("component", "rep", "n"))
+        if len(np.unique(component)) < 2:
+            continue
+        x, joined = _folded(rows.column("sketch").to_pylist()), _Union(range(len(rep)))
+        for i in range(len(rep) - 1):
+            rest = np.arange(i + 1, len(rep))
+            for j in _maybe(x, n, i, rest[component[rest] != component[i]]).tolist():
+                joined.join(i, j)
+        roots = joined.roots()
+        out = [np.flatnonzero(roots == r) for r in np.flatnonzero(np.bincount(roots, minlength=1) > 1)]
+        if out:
+            names = [int(mix64(rep[g].view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) for g in out]
+            at = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(g) for g in out])), pa.array(rep[at]), pa.array(component[at])], names=["group", "rep", "component"])
+
+
+def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join a group's components: exact comparisons until no pair of different components is left."""
+    for rows in _runs(batches, "group"):
+        rep, sets = rows.column("rep").to_numpy(), [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+        n, x, found = np.array([len(s) for s in sets]), _folded([sketch(s) for s in sets]), []
+        joined = _Union(rows.column("component").to_pylist())
+        for i in range(len(rep) - 1):
+            for j in _maybe(x, n, i, np.arange(i + 1, len(rep))).tolist():
+                if joined.find(i) != joined.find(j) and similar(sets[i], sets[j]):
+                    joined.join(i, j)
+                    found.append((int(rep[i]), int(rep[j])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], names=["u", "v"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -310,18 +433,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _links(docs, first, classes)
     known = Stored(components(links), "known").df.withColumnRenamed("u", "rep")
 
-    # Lists whose members lie in several components: compare across them, but for the least member.
+    # Lists whose members lie in several components (the least member was compared with all).
     told = members.join(heads.where("size > 2"), "list").where("rep <> head").join(known, "rep", "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("component"))
     told = Stored(told, "told").df
-    sizes = told.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = Stored(sizes.groupBy("list").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", F.col("m.component").alias("main")), "main").df
-    split = Stored(told.join(main, "list"), "split").df
-    others = split.where("component <> main").select("list", F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"))
-    across = others.join(split.select("list", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), "main"), "list")
-    across = across.where("cu <> cv and (cv = main or u < v) and 100 * least(nu, nv) >= 75 * greatest(nu, nv)")
-    more = _links(docs, across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), classes)
-    if not more.isEmpty():
-        known = Stored(components(links.unionByName(more)), "known").df.withColumnRenamed("u", "rep")
+    split = Stored(told.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("list"), "split").df
+    rows_of = told.join(split, "list").join(classes.select("rep", "sketch"), "rep")
+    groups = Stored(_in_blocks(rows_of.select("list", "rep", "n", "component", "sketch"), "list").mapInArrow(_groups, "group long, rep long, component long").distinct(), "groups").df
+    sets = _sets_of(docs, groups.select(F.col("rep").alias("doc_id")).distinct())
+    if sets is not None:
+        full = groups.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("group", "rep", "component", "shingles")
+        more = Stored(_in_blocks(full, "group").mapInArrow(_link_groups, "u long, v long"), "links").df
+        # Known components stand for their links: each member to its least one.
+        stars = known.select(F.col("rep").alias("u"), F.col("component").alias("v"))
+        known = Stored(components(stars.unionByName(more)), "known").df.withColumnRenamed("u", "rep")
 
     copies = Stored(classes.where("copies > 1").select("name", "rep"), "copies").df
     out = rows.join(copies, "name", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(known, "rep", "left")

@@ -45,6 +45,8 @@ HELD, BUCKETS = 1 << 20, 4
 _BLOCK = 1 << 16
 #: Members of a list or group that one task compares with as many others.
 BLOCK = 512
+#: Chains of possible links of up to so many members are compared pair by pair.
+FEW = 32
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -378,13 +380,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         component, rep, n = (rows.column(c).to_numpy() for c in ("component", "rep", "n"))
         if len(np.unique(component)) < 2:
             continue
-        x, joined = _folded(rows.column("sketch").to_pylist()), _Union(range(len(rep)))
+        x, joined, pairs = _folded(rows.column("sketch").to_pylist()), _Union(range(len(rep))), []
         for i in range(len(rep) - 1):
             rest = np.arange(i + 1, len(rep))
             for j in _maybe(x, n, i, rest[component[rest] != component[i]]).tolist():
                 joined.join(i, j)
+                pairs.append((i, j))
         roots = joined.roots()
-        out = [np.flatnonzero(roots == r) for r in np.flatnonzero(np.bincount(roots, minlength=1) > 1)]
+        sizes = np.bincount(roots)
+        # Few members: each possible pair is a group, so that equal pairs of many lists are compared once.
+        out = [np.array(p) for p in pairs if sizes[roots[p[0]]] <= FEW] + [np.flatnonzero(roots == r) for r in np.flatnonzero(sizes > FEW)]
         if out:
             names = [int(mix64(rep[g].view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) for g in out]
             at = np.concatenate(out)

@@ -1,18 +1,25 @@
 """Personal data: fixed patterns, then information-theoretic sanitisation of terms.
 
 The values that the patterns find are protected entities.  Over the whole
-corpus, an entity c and a term t are counted together when t stands near c, in
-how many different surroundings; the pointwise mutual information
-log(N n(c,t) / (n(c) n(t))) says how much t tells of c.  A term that tells more
-than the share ``disclosure`` of the entity's own information log(N / n(c)) would
-let a reader infer c without seeing it, so it is reported (and generalised to
-its kind in ``sanitised``) wherever it stands near c.
+corpus n(c) documents hold the entity c, n(t) the term t outside of entities and
+n(c,t) both, wherever they stand in it; each row is a document, copies too.  The
+pointwise mutual information log(N n(c,t) / (n(c) n(t))) says how much t tells of
+c.  A term that tells more than the share ``disclosure`` of the entity's own
+information log(N / n(c)) would let a reader infer c without seeing it, so every
+occurrence of it in every document is reported (and generalised to its kind in
+``sanitised``), whether or not the entity is there.
+
+Terms are words of any length, in lower case; scripts written without spaces
+give each two neighbouring characters as a term.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, mix64, text_bytes, text_slices, texts
-from .shingles import word_hashes
+from .common import Stored, mix64, texts
 from .spans import Span, digest, joined, parsed, replaced
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -32,14 +38,17 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
-#: Characters on each side of an entity in which terms are near it.
-NEAR = 80
-#: Different surroundings in which a term must stand near an entity before it can disclose it.
+#: Characters of scripts without spaces between words.
+_CJK = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W\d_{_CJK}]+")
+#: Two such letters in a row (also overlapping ones), or a single one between other characters.
+_PAIR = re.compile(rf"(?=([{_CJK}]{{2}}|(?<![{_CJK}])[{_CJK}](?![{_CJK}])))")
+_SPACELESS = re.compile(rf"[{_CJK}]")
+#: Documents in which a term must stand together with an entity before it can disclose it.
 SUPPORT = 3
 FILTER_BITS = 23
-_GAPS = np.ones(256, bool)
-_GAPS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+#: Pairs of entity and term that a task holds before it sends them on.
+PAIRS = 1 << 18
 
 
 def _luhn(digits: str) -> bool:
@@ -78,26 +87,107 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+@lru_cache(1 << 16)
 def _hash(term: str) -> int:
-    raw = np.frombuffer(term.encode(), np.uint8)
-    return int(word_hashes(raw, np.array([0, len(raw)]), _GAPS)[0].view(np.int64)[0])
+    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _split(text: str) -> tuple[list[Span], set[str], str]:
+    """The base spans, the entities, and the text with spaces for them."""
+    own = base_spans(text)
+    entities = {f"{kind}:{text[a:b]}" for kind, a, b in own}
+    rest, at = [], 0
+    for _, a, b in sorted(own, key=lambda s: s[1:]):
+        if b > at:
+            rest += [text[at:a], " " * (b - max(a, at))]
+            at = b
+    return own, entities, "".join([*rest, text[at:]])
+
+
+def _terms(rest: str) -> set[str]:
+    """The distinct terms of a text without entities."""
+    found = {t.lower() for t in set(_WORD.findall(rest))}
+    if _SPACELESS.search(rest):
+        found |= set(_PAIR.findall(rest))
+    return found
+
 
+def _places(rest: str) -> Iterator[tuple[str, int, int]]:
+    """All occurrences of terms: the term, its start and end."""
+    for m in _WORD.finditer(rest):
+        yield m[0].lower(), m.start(), m.end()
+    if _SPACELESS.search(rest):
+        for m in _PAIR.finditer(rest):
+            yield m[1], m.start(1), m.end(1)
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("place", pa.int64())]))
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold each entity and each term, batch by batch."""
     for batch in batches:
-        base, near = [], []
+        entities, terms = Counter(), Counter()
         for text in texts(batch):
-            own, terms = base_spans(text), []
-            for kind, a, b in own:
-                lo, hi = max(0, a - NEAR), min(len(text), b + NEAR)
-                around = [(m[0], m.start(), m.end()) for m in _TERM.finditer(text, lo, hi) if not any(x < m.end() and m.start() < y for _, x, y in own)]
-                around = [t for t in around if (t[1] > lo or lo == 0) and (t[2] < hi or hi == len(text))]  # whole terms
-                place = _hash("".join(t[0] for t in around)) if around else 0
-                terms += [{"entity": f"{kind}:{text[a:b]}", "term": _hash(t), "start": s, "end": e, "place": place} for t, s, e in around]
-            base.append(joined(own, KINDS))
-            near.append(terms)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.string()), pa.array(near, near_type)], names=["doc_id", "base", "near"])
+            _, own, rest = _split(text)
+            entities.update(own)
+            terms.update(_terms(rest))
+        for kind, seen in (("entity", entities), ("term", terms)):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(seen), pa.string()), pa.array([_hash(x) for x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["kind", "key", "n"])
+
+
+def _pairs(often, wanted):
+    """Documents of a task that hold both an entity and a term which the filters let through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entities, terms = (np.unpackbits(np.frombuffer(x.value, np.uint8)).view(bool) for x in (often, wanted))
+
+        def made(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            both = np.concatenate([np.stack(x, axis=1) for x in held])
+            order = np.lexsort((both[:, 1], both[:, 0]))
+            both = both[order]
+            first = np.flatnonzero(np.concatenate(([True], (both[1:] != both[:-1]).any(axis=1))))
+            return pa.RecordBatch.from_arrays([pa.array(both[first, 0]), pa.array(both[first, 1]), pa.array(np.diff(np.append(first, len(both))))], names=["entity", "term", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for text in texts(batch):
+                _, own, rest = _split(text)
+                c = np.array([_hash(x) for x in own], np.int64)
+                c = c[entities[_slot(c)]]
+                if not len(c):
+                    continue
+                t = np.array([_hash(x) for x in _terms(rest)], np.int64)
+                t = t[terms[_slot(t)]]
+                step = max(1, PAIRS // max(1, len(t)))
+                for i in range(0, len(c) if len(t) else 0, step):
+                    few = c[i : i + step]
+                    held.append((np.repeat(few, len(t)), np.tile(t, len(few))))
+                    size += len(few) * len(t)
+                    if size >= PAIRS:
+                        yield made(held)
+                        held, size = [], 0
+        if held:
+            yield made(held)
+
+    return run
+
+
+def _scan(told):
+    """Base spans of each row, and its occurrences of terms that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = np.unpackbits(np.frombuffer(told.value, np.uint8)).view(bool) if told else None
+        near_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            base, near = [], []
+            for text in texts(batch):
+                own, _, rest = _split(text)
+                base.append(joined(own, KINDS))
+                names = list(_terms(rest)) if told else []
+                hashes = np.array([_hash(x) for x in names], np.int64)
+                some = {names[i]: int(hashes[i]) for i in np.flatnonzero(terms[_slot(hashes)])} if names else {}
+                near.append([{"term": some[t], "start": a, "end": b} for t, a, b in _places(rest) if t in some] if some else [])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.string()), pa.array(near, near_type)], names=["doc_id", "base", "near"])
+
+    return run
 
 
 def _slot(terms: np.ndarray) -> np.ndarray:
@@ -107,7 +197,7 @@ def _slot(terms: np.ndarray) -> np.ndarray:
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << FILTER_BITS, bool)
     for batch in batches:
-        bits[_slot(batch.column("term").to_numpy())] = True
+        bits[_slot(batch.column("key").to_numpy())] = True
     packed = np.packbits(bits).reshape(-1, 4096)
     used = np.flatnonzero(packed.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
@@ -120,46 +210,29 @@ def _either(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"].iloc[:1], "bits": [total.tobytes()]})
 
 
-def _document_counts(bits):
-    """In how many documents of a task the terms that the filter lets through stand."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool)
-        for batch in batches:
-            column, kept = batch.column("text"), []
-            for lo, hi in text_slices(column):
-                words, first = word_hashes(*text_bytes(column.slice(lo, hi - lo)), _GAPS)
-                pick = table[_slot(words.view(np.int64))]
-                doc = np.repeat(np.arange(lo, hi), np.diff(first))[pick]
-                own = words[pick]
-                order = np.lexsort((own, doc))
-                own, doc = own[order], doc[order]
-                kept.append(own[np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])))] if len(own) else own)
-            terms, count = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(count)], names=["term", "n"])
-
-    return run
-
-
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, disclosure: float) -> DataFrame:
-    """(entity, term) whose mutual information exceeds its share of the entity's information."""
-    spark = docs.sparkSession
-    near = scanned.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.place")
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    pairs = Stored(pairs, "pairs").df
-    if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    alone = near.select("entity", "place").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("alone"))
+def _filter(keys: DataFrame):
+    """A broadcast of 2**FILTER_BITS bits, of which those of ``keys`` (column key) are set."""
     bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in pairs.select("term").distinct().mapInArrow(_slots, "block int, bits binary").groupBy("block").applyInPandas(_either, "block int, bits binary").toLocalIterator():
+    for row in keys.select("key").mapInArrow(_slots, "block int, bits binary").groupBy("block").applyInPandas(_either, "block int, bits binary").toLocalIterator():
         bits[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
-    counted = docs.select("text").mapInArrow(_document_counts(spark.sparkContext.broadcast(bits.tobytes())), "term long, n long")
-    counted = counted.groupBy("term").agg(F.sum("n").alias("seen"))
-    total = float(docs.count())
-    told = pairs.join(alone, "entity").join(counted, "term")
-    # A term cannot be seen less often than near the entity; the maximum only guards copies within one document.
-    told = told.withColumn("pmi", F.log(F.lit(total) * F.col("both") / (F.col("alone") * F.greatest("seen", "both"))))
-    return told.where(F.col("pmi") > disclosure * F.log(F.lit(total) / F.col("alone"))).select("entity", "term")
+    return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def disclosing_terms(docs: DataFrame, disclosure: float) -> DataFrame:
+    """Hashes (key) of the terms whose information on some entity exceeds its share of the entity's own."""
+    counted = docs.select("text").mapInArrow(_count, "kind string, key long, n long")
+    counted = Stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT), "counts").df
+    often, seen = (counted.where(F.col("kind") == kind).select("key", "n") for kind in ("entity", "term"))
+    most, total = often.agg(F.max("n")).first()[0], docs.count()
+    if most is None:
+        return seen.select("key").limit(0)
+    # n(c,t) <= n(c), so a term of more documents than this tells too little of every entity (for any disclosure >= 0).
+    seen = seen.where(F.col("n") <= total * (most / total) ** max(disclosure, 0.0) * (1 + 1e-9))
+    pairs = docs.select("text").mapInArrow(_pairs(_filter(often), _filter(seen)), "entity long, term long, n long")
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= SUPPORT)
+    told = pairs.join(often.select(F.col("key").alias("entity"), F.col("n").alias("alone")), "entity").join(seen.select(F.col("key").alias("term"), F.col("n").alias("seen")), "term")
+    pmi = F.log(F.lit(float(total)) * F.col("both") / (F.col("alone") * F.col("seen")))
+    return told.where(pmi > disclosure * F.log(F.lit(float(total)) / F.col("alone"))).select(F.col("term").alias("key")).distinct()
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,20 +253,20 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_personal_data(docs: DataFrame, disclosure: float = 0.8) -> DataFrame:
     """A row per row of ``docs``: doc_id, counts by kind, base_sha256, spans, n_term.
 
-    Null texts are empty and give no span; rows that share a doc_id share their
-    terms only where both hold them; an empty table gives an empty result;
-    columns other than doc_id and text are ignored.  Entities in copies of one
-    surrounding count once.
+    Null texts are empty and give no span; every row is a document of its own,
+    also where rows share a doc_id or are copies; an empty table gives an empty
+    result; columns other than doc_id and text are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = "doc_id long, base string, near array<struct<entity: string, term: long, start: int, end: int, place: long>>"
-    scanned = Stored(docs.mapInArrow(_scan, made).withColumn("row", F.monotonically_increasing_id()), "personal").df
-    told = Stored(disclosing_terms(docs, scanned, disclosure), "told").df
+    told = Stored(disclosing_terms(docs, disclosure), "told").df
+    none = told.isEmpty()
+    made = docs.mapInArrow(_scan(None if none else _filter(told)), "doc_id long, base string, near array<struct<term: long, start: int, end: int>>")
+    scanned = Stored(made.withColumn("row", F.monotonically_increasing_id()), "personal").df
     result = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long"
-    if told.isEmpty():
+    if none:
         return scanned.select("doc_id", "base", F.array().cast("array<struct<start: int, end: int>>").alias("terms")).mapInArrow(_finish, result)
-    near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
-    terms = near.join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("terms"))
+    near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", F.col("x.term").alias("key"), "x.start", "x.end")
+    terms = near.join(told, "key").groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("terms"))
     return scanned.select("row", "doc_id", "base").join(terms, "row", "left").select("doc_id", "base", "terms").mapInArrow(_finish, result)
 
 

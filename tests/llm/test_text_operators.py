@@ -197,6 +197,18 @@ def test_disclosing_terms(spark):
     assert "jane" not in clean[0] and "Zanzibar" not in clean[0] and "common" in clean[0] and clean[100] == rows[8][1]
 
 
+def test_terms_are_marked_without_the_entity(spark):
+    rows = [(i, f"Li met 张伟 {'and so on ' * 20} at jane@corp.example") for i in range(6)]
+    rows += [(50, "later Li went home, LI said 张伟，and 张三 stayed"), (51, "the ÉLi and Lima stay")]
+    rows += [(100 + i, "and so on met at filler home 张三") for i in range(300)]
+    found = {r.doc_id: r for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    told = {i: {t[a:b] for k, a, b in pii.parsed(found[i].spans) if k == "term"} for i, t in rows}
+    assert told[0] == {"Li", "张伟"} and told[50] == {"Li", "LI", "张伟"} and not told[51] and not told[100]
+    assert found[50].n_term == 3
+    clean = {r.doc_id: r.text for r in pii.sanitised(documents(spark, rows)).collect()}
+    assert clean[50] == "later [TERM] went home, [TERM] said [TERM]，and 张三 stayed"
+
+
 def test_randomness_battery(spark):
     rng = np.random.default_rng(5)
     signs = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))

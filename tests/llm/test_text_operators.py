@@ -209,6 +209,15 @@ def test_terms_are_marked_without_the_entity(spark):
     assert clean[50] == "later [TERM] went home, [TERM] said [TERM]，and 张三 stayed"
 
 
+def test_terms_by_documents(spark):
+    rows = [(i, "Quagmire signed jane@corp.example") for i in range(40)] + [(40, "also Quagmire and jane@corp.example"), (41, "then Quagmire, to jane@corp.example")]
+    rows += [(50 + i, "Zyzzy greets joe@corp.example") for i in range(20)]  # a single surrounding
+    rows += [(100 + i, "signed then also and to greets filler") for i in range(2000)]
+    found = {r.doc_id: r for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    told = {i: {t[a:b] for k, a, b in pii.parsed(found[i].spans) if k == "term"} for i, t in rows}
+    assert told[0] == told[40] == told[41] == {"Quagmire"} and told[50] == {"Zyzzy"} and not told[100]
+
+
 def test_randomness_battery(spark):
     rng = np.random.default_rng(5)
     signs = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))

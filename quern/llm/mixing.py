@@ -1,27 +1,29 @@
 """Mixing sources to target weights by a Pfair schedule of blocks.
 
-Each source is cut into blocks of equal size.  Block j (from 1) of a source of
-weight w may run in the slots from floor((j - 1) / w) and must have run by slot
-ceil(j / w); earliest deadline first keeps every source within one block of
-w * t at every slot t.  Weights are whole multiples of 1 / RESOLUTION, so such
-a schedule repeats after RESOLUTION slots: the pattern of one round, a table of
-that many rows, places every block of every source by arithmetic.
-
-When a source has no block left, the others share its weight from then on, so
-a schedule has one phase for each distinct time at which sources run out.
+Each source is cut into blocks of equal size.  In the ideal mixture all sources
+flow at once, each at its exact weight; when one has no block left, the others
+share its weight from then on.  Block j (from 1) of a source may run from the
+slot in which the ideal mixture starts it, floor((j - 1) / w) for a source of
+weight w before any has run out, and must have run by the slot in which the
+ideal mixture ends it, ceil(j / w).  Earliest deadline first meets all these
+deadlines, so every source stays within one block of its ideal at every slot,
+and no slot stays free.  Weights are rational numbers and are never rounded.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored
 
-#: Slots of one round.
+#: Slots of one round of whole shares.
 RESOLUTION = 1024
 #: Sources are categories of a corpus: with more of them than this no schedule is made.
 MOST_SOURCES = 10_000
@@ -44,45 +46,77 @@ def quantised(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[s
     return share
 
 
-def pattern(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source in one round of sum(share) slots, earliest deadline first."""
-    n = sum(share.values())
-    waiting = [(0, s, 1) for s in share]  # release, source, block
+def deal(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """Source and block (from 0) of slot 0, 1, ...; needs memory for the sources only.
+
+    In virtual time v a source of weight w has ideally had min(n, w v) of its n
+    blocks, so slots and virtual time are tied by a line for each set of sources
+    that are left.
+    """
+    names = sorted(s for s, n in blocks.items() if n)
+    exact = {s: Fraction(weights[s]) for s in names}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    rate, most = [int(exact[s] * scale) for s in names], [blocks[s] for s in names]
+    order = sorted(range(len(names)), key=lambda i: Fraction(most[i], rate[i]))  # as they run out
+    lines, gone, left = [], 0, sum(rate)
+    for i in order:
+        lines.append((gone, left, most[i], rate[i]))  # until virtual time most / rate
+        gone, left = gone + most[i], left - rate[i]
+    line = [0] * len(names)
+
+    def window(i: int, j: int) -> tuple[int, int]:
+        """First slot of block j (from 1) and the slot by which it must have run."""
+        def at(v: int) -> tuple[int, int, int]:
+            while line[i] < len(lines) - 1 and v * lines[line[i]][3] > lines[line[i]][2] * rate[i]:
+                line[i] += 1
+            return lines[line[i]][0], lines[line[i]][1] * v, rate[i]
+
+        gone, a, b = at(j - 1)
+        release = gone + a // b
+        gone, a, b = at(j)
+        return release, gone - (-a // b)
+
+    waiting, ready = [(*window(i, 1), i, 1) for i in range(len(names))], []
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for slot in range(n):
+    for slot in range(sum(most)):
         while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * n // share[s]), s, j))
-        deadline, s, j = heapq.heappop(ready)
+            _, deadline, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, i, j))
+        deadline, i, j = heapq.heappop(ready)
         assert slot < deadline, "earliest deadline first meets all deadlines of full use"
+        yield names[i], j - 1
+        if j < most[i]:
+            heapq.heappush(waiting, (*window(i, j + 1), i, j + 1))
+
+
+def pattern(share: dict[str, int]) -> dict[str, list[int]]:
+    """Slots of each source in one round of sum(share) slots."""
+    slots: dict[str, list[int]] = {s: [] for s in share}
+    for slot, (s, _) in enumerate(deal(share, share)):
         slots[s].append(slot)
-        if j < share[s]:
-            heapq.heappush(waiting, (j * n // share[s], s, j + 1))
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
-    """Consecutive phases: first slot, slot pattern and first block of each source that runs.
+def _dealt(blocks: dict[str, int], weights: dict[str, float]):
+    """The slot of every block, in batches."""
 
-    A phase ends with the round in which its first source has no block left;
-    the blocks it lacks to the end of that round leave slots free.
-    """
-    left, done, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        share = quantised({s: weights[s] for s in left}, max(RESOLUTION, len(left)))
-        size = sum(share.values())
-        rounds = max(1, min(-(-left[s] // share[s]) for s in left))
-        out.append({"start": start, "size": size, "slots": pattern(share), "done": {s: done[s] for s in left}, "rounds": rounds})
-        for s in list(left):
-            taken = min(left[s], share[s] * rounds)
-            done[s] += taken
-            left[s] -= taken
-            if not left[s]:
-                del left[s]
-        start += size * rounds
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            sources, numbers = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(sources), pa.array(numbers, pa.int64()), pa.array(range(slot + 1 - len(rows), slot + 1), pa.int64())], names=["source", "source_block", "slot"])
+
+        for batch in batches:
+            rows, slot = [], -1
+            for _ in range(batch.num_rows):
+                for slot, row in enumerate(deal(blocks, weights)):
+                    rows.append(row)
+                    if len(rows) == 1 << 14:
+                        yield made()
+                        rows = []
+            if rows:
+                yield made()
+
+    return run
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -124,13 +158,11 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     target = {s: float(given.get(s, n**temper)) for s, n in totals.items()}
     if any(not w > 0 for w in target.values()):
         raise ValueError("target weights must be positive")
-    plan = phases({s: -(-n // block) for s, n in totals.items()}, target)
-    steps = [(s, [(p["done"][s], p["start"], p["size"], p["slots"][s]) for p in plan if s in p["done"]]) for s in totals]
-    table = docs.sparkSession.createDataFrame(steps, "source string, steps array<struct<first: long, start: long, size: long, slots: array<long>>>")
+    deck = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(_dealt({s: -(-n // block) for s, n in totals.items()}, target), "source string, source_block long, slot long")
+    slots = Stored(deck, "slots").df
     rows = numbered(rows).withColumn("source_block", F.expr(f"before div {int(block)}"))
-    rows = rows.join(table, "source").withColumn("step", F.expr("element_at(filter(steps, s -> s.first <= source_block), -1)"))
-    slot = F.expr("step.start + (source_block - step.first) div size(step.slots) * step.size + step.slots[cast((source_block - step.first) % size(step.slots) as int)]")
-    return rows.select("doc_id", "source", "source_block", F.expr(f"before % {int(block)}").alias("position"), slot.alias("slot"))
+    rows = rows.join(slots, ["source", "source_block"])
+    return rows.select("doc_id", "source", "source_block", F.expr(f"before % {int(block)}").alias("position"), "slot")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -140,5 +172,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     last.  Rows that share a doc_id stand at the earliest of their places.
     """
     places = schedule(docs, **options).groupBy("doc_id").agg(F.min(F.struct("slot", "position")).alias("_place")).withColumnRenamed("doc_id", "_doc")
-    placed = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(places["_doc"])).orderBy("_place", "doc_id")
+    placed = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(places["_doc"])).orderBy(places["_place"], docs["doc_id"])
     return placed.select(*(docs[c] for c in docs.columns))

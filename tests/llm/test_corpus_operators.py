@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -184,6 +185,34 @@ def test_pfair_stays_within_a_block():
             assert (np.abs(done - share[s] * np.arange(n + 1) / n) < 1).all()
 
 
+@pytest.mark.parametrize("case", ["equal", "tiny", "mixed"])
+def test_deal_stays_within_a_block_of_the_target(case):
+    r = random.Random(8)
+    weights, blocks = {
+        "equal": ({f"s{i:02}": 1.0 for i in range(20)}, {f"s{i:02}": 1000 for i in range(20)}),
+        "tiny": ({"a": 0.9999, "b": 0.0001}, {"a": 30000, "b": 40}),
+        "mixed": ({f"s{i}": r.random() ** 3 + 1e-5 for i in range(12)}, {f"s{i}": r.randrange(1, 900) for i in range(12)}),
+    }[case]
+    done, ideal, exact = Counter(), dict.fromkeys(blocks, Fraction(0)), {s: Fraction(w) for s, w in weights.items()}
+    for slot, (s, j) in enumerate(mixing.deal(blocks, weights)):
+        assert j == done[s]
+        done[s] += 1
+        time = Fraction(1)
+        while time:  # one slot of the ideal mixture, in which sources may run out
+            left = [x for x in blocks if ideal[x] < blocks[x]]
+            total = sum(exact[x] for x in left)
+            step = min(time, *((blocks[x] - ideal[x]) * total / exact[x] for x in left))
+            for x in left:
+                ideal[x] += step * exact[x] / total
+            time -= step
+        if slot % 7 == 0 or case == "mixed":
+            assert all(abs(done[x] - ideal[x]) < 1 for x in blocks)
+        if case != "mixed" and slot == 12000:
+            break
+    else:
+        assert done == blocks
+
+
 def test_mixing(spark):
     r = random.Random(3)
     rows = [(i, "x" * r.randrange(0, 300) or None, r.choice(["a", "a", "a", "b", None])) for i in range(600)]

@@ -64,6 +64,14 @@ class Stored:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def numbered_rows(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written once with a number for each row, and the name of that column."""
+    name, taken = "_row", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return Stored(df.withColumn(name, F.monotonically_increasing_id()), tag).df, name
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for the rows that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, text_bytes, text_slices
+from .common import Stored, numbered_rows, text_bytes, text_slices
 
 #: Chunk sizes in bytes: no cut before LEAST, a cut about every 2**MASK_BITS after it, always one at MOST.
 LEAST, MASK_BITS, MOST = 512, 11, 16384
@@ -128,6 +128,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    """The rows of ``docs`` that stay, one for each text, with all their columns.
+
+    Rows are told apart by a number of their own: of equal texts the largest
+    doc_id stays (a null one only where there is no other), and of its rows one.
+    """
+    rows, row = numbered_rows(docs, "rows")
+    made = Stored(recipes(rows.select(F.col(row).alias("doc_id"), "text")), "recipes").df
+    clashes = chunk_names(made).where(F.col("least") != F.col("most"))
+    named = made.select("doc_id", "recipe") if clashes.isEmpty() else _renamed(made, clashes)
+    own = rows.select(F.col(row).alias("_of"), F.col("doc_id").cast("long").alias("_id"))
+    named = named.join(own, named["doc_id"] == own["_of"])
+    best = F.max(F.struct(F.col("_id").isNotNull().alias("has"), F.col("_id").alias("id"), (-F.col("_of")).alias("back")))
+    keep = named.groupBy("recipe").agg(best.alias("best")).select((-F.col("best.back")).alias("_keep"))
+    kept = rows.join(keep, rows[row] == keep["_keep"], "left_semi")
+    return kept.select(*(kept[c] for c in docs.columns))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, mix64, text_bytes, text_slices
+from .common import Stored, mix64, numbered_rows, text_bytes, text_slices
 from .components import components
 from .shingles import shingle_sets
 
@@ -458,6 +458,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the least of their component, with all columns."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
+    """One row of ``docs`` for each component, with all columns.
+
+    Rows are told apart by a number of their own: of a component the least
+    doc_id stays (a null one only where there is no other), and of its rows one.
+    """
+    rows, row = numbered_rows(docs, "rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), "component_id")
+    own = rows.select(F.col(row).alias("_number"), F.col("doc_id").cast("long").alias("_id"))
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_of").alias("row")))
+    keep = found.join(own, found["_of"] == own["_number"]).groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias("_keep"))
+    kept = rows.join(keep, rows[row] == keep["_keep"], "left_semi")
+    return kept.select(*(kept[c] for c in docs.columns))

@@ -63,6 +63,19 @@ def test_exact_groups(spark, corpus):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_stages_keep_rows_by_row(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "alone and clean with some words"), (None, "shared by two rows here"), (4, "shared by two rows here"), (7, "the same row twice over"), (7, "the same row twice over"), (9, long), (9, "copied text under two ids"), (8, "copied text under two ids"), (9, "copied text under two ids"), (None, "null twice in a row here"), (None, "null twice in a row here")]
+    docs = documents(spark, rows).withColumn("_row", F.lit(5))
+    want = [(None, "alone and clean with some words"), (4, "shared by two rows here"), (7, "the same row twice over"), (9, long), (9, "copied text under two ids"), (None, "null twice in a row here")]
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(want, key=str)
+    near = long.replace("w59", "other")
+    more = documents(spark, [*rows, (None, near), (12, near)])
+    want[4] = (8, "copied text under two ids")  # of near copies the least doc_id stays
+    assert sorted(((x.doc_id, x.text) for x in ngram_join.drop_near_copies(more).collect()), key=str) == sorted(want, key=str)
+
+
 def test_clashing_chunk_names_are_told_apart(spark, monkeypatch):
     made = spark.createDataFrame([(1, "s1", bytearray(b"N" * 8), bytearray(b"a" * 36)), (2, "s2", bytearray(b"N" * 8), bytearray(b"b" * 36)), (3, "s1", bytearray(b"N" * 8), bytearray(b"a" * 36)), (4, "s4", bytearray(), bytearray())], "doc_id long, text_sha256 string, recipe binary, digests binary")
     clashes = exact_dedup.chunk_names(made).where("least <> most")

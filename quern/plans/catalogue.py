@@ -109,8 +109,7 @@ def csv_row_chunks(spark, sf_dir):
       SELECT doc_id AS page_id, CASE WHEN length(text) <= 1500 THEN [text] ELSE list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') END AS p
       FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '\n(\d+\. |●|。|-)')))""")
 def structure_pages(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return chunking.pages(docs.where(~F.col("text").rlike(r"\n(\d+\. |●|。|-)"))).withColumnRenamed("doc_id", "page_id")
+    return chunking.pages(_table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "page_id")
 
 
 @query()

@@ -20,3 +20,18 @@ def test_entry(spark, sf_dir):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_structure_pages_of_marked_documents(spark, tmp_path):
+    import re
+
+    long = "word " * 200
+    texts = [f"{long}\n1. {long}\n2. {long}", f"{long}\n- {long}\n\n{long}", f"{long}\n● {long}。\n。{long}", "short\n- whole", f"{long}\n\n{long}\n1.x {long}", f"{long}\n-\n- {long}", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, text in enumerate(texts):
+        marked, blank = ([p.strip() for p in re.split(x, text) if p.strip()] for x in (r"(?=\n(?:\d+\. |●|。|-))", r"\n\s*\n"))
+        parts = [text] if len(text) <= 1500 else marked if len(marked) > 1 else blank
+        want += [(i, j, p) for j, p in enumerate(parts) if text]
+    found = catalogue.QUERIES["structure_pages"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.chunk_index, r.text) for r in found) == want

@@ -340,7 +340,7 @@ def graph_paths(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     region = _table(spark, sf_dir, "region").select(F.col("r_name").alias("target"))
     pairs = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("source")).join(region).withColumn("domain_id", F.lit("trade"))
-    found = graph.paths(edges, pairs, most=None, longest=6)
+    found = graph.paths(edges, pairs, most=None)
     return found.select("source", "target", (F.size("nodes") - 1).alias("edges"), graph.path_text().alias("path"))
 
 

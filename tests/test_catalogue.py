@@ -35,3 +35,11 @@ def test_structure_pages_of_marked_documents(spark, tmp_path):
         want += [(i, j, p) for j, p in enumerate(parts) if text]
     found = catalogue.QUERIES["structure_pages"](spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.chunk_index, r.text) for r in found) == want
+
+
+def test_graph_paths_of_a_large_region(spark, tmp_path):
+    spark.createDataFrame([(i, f"n{i}", 0) for i in range(8)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(0, "r")], "r_regionkey int, r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    spark.createDataFrame([(1, "s", 0)], "s_suppkey int, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = catalogue.QUERIES["graph_paths"](spark, str(tmp_path)).collect()
+    assert len({r.path for r in found}) == len(found) == 128 and max(r.edges for r in found) == 9

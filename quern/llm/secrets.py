@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns, then a battery of randomness tests under FDR control.
 
 Candidates are long runs of characters in which keys are written.  For each the
-smallest encoding that holds it is inferred, and three tests ask whether it
-could be uniform in that encoding: chi-squared over its character classes (over
-single characters once there are five for each), runs above and below the
-middle of the alphabet, and serial correlation of neighbours.  Benjamini-Hochberg
+smallest encoding that holds it is inferred, down to digits or letters of one
+case, and tests ask whether it could be uniform in that encoding: chi-squared
+over single characters at every length (the exact distribution of the statistic
+where fewer than five of each are expected), chi-squared over its character
+classes where it has several, runs above and below the middle of the alphabet,
+and serial correlation of neighbours.  Benjamini-Hochberg
 over all candidates of one length class of the corpus then decides which are
 *not* random; the others are reported as secrets.  Of the true keys only a share
 of about ``level`` is so cleared, at any mix of lengths.
@@ -15,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,15 @@ BIN, BINS = 0.05, 400
 #: Encodings from small to large: name, its characters in order, and its classes.
 _LOW, _UP, _DIG = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = (
+    ("digits", (_DIG,)),
     ("hex", (_DIG, "abcdef")),
     ("HEX", (_DIG, "ABCDEF")),
+    ("lower", (_LOW,)),
+    ("upper", (_UP,)),
     ("base32", (_UP, "234567")),
     ("base36", (_DIG, _LOW)),
     ("BASE36", (_DIG, _UP)),
+    ("letters", (_UP, _LOW)),
     ("base62", (_DIG, _UP, _LOW)),
     ("base64", (_DIG, _UP, _LOW, "+/")),
     ("base64url", (_DIG, _UP, _LOW, "-_")),
@@ -78,17 +84,48 @@ def _chi_squared(observed: np.ndarray, expected: np.ndarray) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+@lru_cache(512)
+def _pair_tail(n: int, size: int) -> np.ndarray:
+    """P(T >= t) for t = 0, 1, ...: pairs of equal characters among n that are uniform over ``size``.
+
+    T is the chi-squared statistic up to scale and shift.  The counts are
+    independent Poisson variables given their sum, so a Fourier transform over
+    sum and pairs gives their distribution; errors are far below 1e-11, the
+    least value returned.
+    """
+    mean = n * (n - 1) / 2 / size
+    wide = 1 << int(mean + 20 * math.sqrt(mean) + 200).bit_length()  # more pairs than this do not occur
+    sums = 2 * n + 64
+    counts = np.arange(n + 1)
+    rate = n / size
+    weight = np.exp(counts * math.log(rate) - rate - np.array([math.lgamma(c + 1) for c in counts]))
+    of_sum = np.exp(-2j * np.pi * (np.outer(np.arange(sums), counts) % sums) / sums) * weight
+    of_pairs = np.exp(-2j * np.pi * (np.outer(counts * (counts - 1) // 2, np.arange(wide)) % wide) / wide)
+    whole = (of_sum @ of_pairs) ** size
+    at_n = (np.exp(2j * np.pi * (np.arange(sums) * n % sums) / sums) @ whole) / sums
+    p = np.maximum(np.fft.ifft(at_n).real, 0)
+    return np.clip(np.cumsum(p[::-1])[::-1] / p.sum(), 1e-11, 1.0)
+
+
+def _uniform(counts: np.ndarray) -> float:
+    """p-value of chi-squared over single characters."""
+    n, size = int(counts.sum()), len(counts)
+    if n >= 5 * size:
+        return _chi_squared(counts, np.full(size, n / size))
+    tail, pairs = _pair_tail(n, size), int((counts * (counts - 1) // 2).sum())
+    return float(tail[pairs]) if pairs < len(tail) else 1e-11
+
+
 def randomness(token: str) -> float:
     """p-value of the battery that ``token`` is uniform in its inferred encoding (Bonferroni over the tests)."""
     signs = frozenset(token)
     _, number, classes = next(e for e in _encodings() if signs <= e[0])
     v = np.array([number[c] for c in token])
     n, size = len(v), len(number)
-    by_class = np.bincount(classes[v], minlength=classes[-1] + 1)
+    p = [_uniform(np.bincount(v, minlength=size))]
     share = np.bincount(classes) / size
-    p = [_chi_squared(by_class, n * share)]
-    if n >= 5 * size:
-        p.append(_chi_squared(np.bincount(v, minlength=size), np.full(size, n / size)))
+    if len(share) > 1:
+        p.append(_chi_squared(np.bincount(classes[v], minlength=len(share)), n * share))
     high = v >= size / 2
     up, down = int(high.sum()), int(n - high.sum())
     if up and down:

@@ -229,3 +229,26 @@ def test_randomness_battery(spark):
     found = secrets.find_secrets(docs).collect()
     assert sum(r.n_random for r in found) >= 54
     assert "[RANDOM]" in secrets.redacted(docs).collect()[0].text or found[0].n_random == 0
+
+
+@pytest.mark.parametrize("signs", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_keys_of_few_kinds_of_characters_are_random(signs):
+    rng = np.random.default_rng(9)
+    p = np.array([secrets.randomness("".join(rng.choice(list(signs), n))) for n in (20, 32, 40) for _ in range(200)])
+    assert (p < 0.01).mean() < 0.03 and np.median(p) > 0.2
+    assert secrets.randomness("internationalizationally") < 0.01
+
+
+def test_single_character_uniformity_is_exact():
+    rng = np.random.default_rng(10)
+    for n, size in ((20, 66), (32, 26), (40, 16), (60, 62), (300, 64)):
+        counts = rng.multinomial(n, [1 / size] * size, 20000)
+        pairs, tail = (counts * (counts - 1) // 2).sum(axis=1), secrets._pair_tail(n, size)
+        for q in (0.5, 0.9, 0.99):
+            t = int(np.quantile(pairs, q))
+            assert abs((pairs >= t).mean() - tail[t]) < 0.015
+    # all 3**6 words: P(T >= t) counted out
+    words = np.stack(np.meshgrid(*[range(3)] * 6), axis=-1).reshape(-1, 6)
+    counts = np.stack([(words == c).sum(axis=1) for c in range(3)], axis=1)
+    pairs = (counts * (counts - 1) // 2).sum(axis=1)
+    assert np.allclose([(pairs >= t).mean() for t in range(16)], secrets._pair_tail(6, 3)[:16])

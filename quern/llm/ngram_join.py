@@ -1,15 +1,19 @@
 """N-gram Jaccard self-join by PartEnum signatures, and the components of its links.
 
-The domain of shingles is partitioned by a hash; a set's signature for one
-partition is the part of the set that falls there.  Sets of similar size (one
-band) use the same partitions.  Two sets with Jaccard >= 3/4 differ in at most
-a third of the smaller one's shingles, so of the partitions that a set of n
-shingles occupies, all but n // 3 have the same part in both: any n // 3 + 1 of
-a set's parts, taken by one order common to all sets, include a part that both
-emit (a subset enumeration with subsets of one partition, which needs the
-fewest signatures).  The order puts parts of frequent shingles last, by counts
-over the whole corpus, so passages that many documents share seldom become
-signatures.
+Sets of similar size (one band, sizes l to 2 l) use the same partitioning of the
+feature domain: l // 6 first-level partitions by a hash, each split to the single
+shingle at the second level.  Two sets of n and m shingles with Jaccard >= 3/4
+differ in at most (n + m) / 7 shingles, so all but n // 3 of the first one's are
+in both.  In one order of the whole domain, common to all sets, the first
+n // 3 + 1 + g shingles of a set, g being the first-level partitions, therefore
+hold the first g + 1 common ones, of which two fall in one first-level
+partition.  So each set enumerates, within each first-level partition, the
+subsets of two second-level partitions among those first shingles; similar sets
+share such a signature.  The order puts frequent shingles last, by counts over
+the whole corpus, so passages that many documents share seldom become
+signatures.  A signature also carries how late it stands in its set: what comes
+before it is hardly common, so a member of a signature's list is dropped when
+even with the list's earliest member it would differ in too many shingles.
 
 Equal sets are one class from the start.  Classes that share a signature form a
 list; every member is compared exactly with the list's least member.  Lists that
@@ -33,15 +37,14 @@ from .common import Stored, mix64, numbered_rows, text_bytes, text_slices
 from .components import components
 from .shingles import shingle_sets
 
-#: Sets of 4**b to 4**(b+1) shingles are band b; its partitions are as many as its largest set has shingles.
-#: Small sets get more, so that their shingles stand in partitions of their own.
-BAND_BITS = 2
 #: Slots of the table of shingle counts, one byte each.
 COUNT_BITS = 22
-#: Bits of the filter that spares documents which share no signature.
-FILTER_BITS = 23
-#: Signatures that a mapper holds before it deals them out, and buckets for each shuffle partition.
-HELD, BUCKETS = 1 << 20, 4
+#: Most bits (as a power of two) of the filter that spares documents which share no signature.
+FILTER_BITS = 27
+#: Signatures that a mapper holds before it deals them out, and those of one bucket (about).
+HELD, BUCKET = 1 << 19, 400_000
+#: Slack of positions in a signature's list is counted in this part of twice the first-level partitions.
+SLACK = 64
 _BLOCK = 1 << 16
 #: Members of a list or group that one task compares with as many others.
 BLOCK = 512
@@ -65,33 +68,40 @@ def _key(name: bytes) -> int:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles fall in each of about n / 4 ranges of hashes, modulo 256."""
-    bits = max(4, (len(shingles) >> 2).bit_length())
-    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
+    """The parity of how many shingles fall in each of 2 n to 4 n ranges of hashes, one bit each."""
+    bits = max(6, (2 * len(shingles)).bit_length())
+    odd = np.bincount((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _fold(sketch: bytes, size: int) -> int:
+    """A sketch with as many ranges as one of ``size`` bytes has."""
+    x, n = int.from_bytes(sketch, "little"), len(sketch)
+    while n > size:
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    return x
 
 
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the size of the symmetric difference of two sets, from their sketches."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
-    d = x.reshape(size, -1).sum(axis=1, dtype=np.uint8) - y.reshape(size, -1).sum(axis=1, dtype=np.uint8)
-    return int(np.minimum(d, -d).sum())
+    size = min(len(a), len(b))
+    return (_fold(a, size) ^ _fold(b, size)).bit_count()
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, then this task's counts of shingles in blocks."""
-    names, kinds = ["doc_id", "n", "name", "key", "sketch", "block", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names, kinds = ["doc_id", "n", "key", "sketch", "block", "counts"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     counts = np.zeros(1 << COUNT_BITS, np.uint32)
     for batch in batches:
         rows = []
         for doc, s in _sets(batch):
-            name = class_of(s) if len(s) else None
-            rows.append((doc, len(s), name, name and _key(name), name and sketch(s), None, None))
+            rows.append((doc, len(s), _key(class_of(s)) if len(s) else None, sketch(s) if len(s) else None, None, None))
             np.add.at(counts, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), np.uint32(1))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds, strict=True)], names=names)
     few = np.minimum(counts, 255).astype(np.uint8).reshape(-1, _BLOCK)
-    rows = [(None, None, None, None, None, i, c.tobytes()) for i, c in enumerate(few) if c.any()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds, strict=True)], names=names)
+    rows = [(None, None, None, None, i, c.tobytes()) for i, c in enumerate(few) if c.any()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds, strict=True)], names=names)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,50 +130,58 @@ def heat_table(described: DataFrame) -> np.ndarray:
 
 
 def bands_of(n: int) -> list[int]:
-    """The band of a set of n shingles, and the next one if a partner may lie there."""
-    band = (n.bit_length() - 1) // BAND_BITS
-    return [band, band + 1] if 4 * n >= 3 << (BAND_BITS * (band + 1)) else [band]
+    """The least sizes of the bands of a set of n shingles: its own, and the next one if a partner may lie there.
+
+    In bands below 4 only equal sets are similar.
+    """
+    own = 1 << (n.bit_length() - 1)
+    return [low for low in ((own, 2 * own) if 4 * n >= 6 * own else (own,)) if low >= 4]
 
 
-def signatures(shingles: np.ndarray, heat: np.ndarray) -> np.ndarray:
-    """The signatures of one set, n // 3 + 1 for each of its bands."""
-    n, out = len(shingles), []
+def signatures(shingles: np.ndarray, heat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set for all its bands, and how late each stands in the set.
+
+    For sets of n and m shingles with a common signature at positions i and j,
+    and nothing else in common before, i + j <= (n + m) / 7 + 2 g must hold for
+    g first-level partitions; with (7 i - n) / 14 g, in parts of 1 / SLACK and
+    rounded down, the sum of both is then at most SLACK.
+    """
+    n, found, late = len(shingles), [], []
     mixed = mix64(shingles)
-    for band in bands_of(n):
-        parts = 1 << 16 if band < 2 else max(256, 1 << (BAND_BITS * (band + 1)))
-        part = (mixed >> np.uint64(40)).astype(np.int64) % parts
-        order = np.argsort(part, kind="stable")
-        part, own = part[order], shingles[order]
-        begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        need = n // 3 + 1
-        if len(begins) < need:
-            raise ArithmeticError("a set occupies too few partitions for a whole join")
-        whole = mix64(np.add.reduceat(mix64(own + np.uint64(0x632BE5AB)), begins) + part[begins].astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(band))
-        warm = np.maximum.reduceat(heat[(own >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], begins)
-        out.append(whole[np.lexsort((whole, warm))[:need]] if need < len(whole) else whole)
-    return np.concatenate(out)
+    rank = heat[(shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mixed >> np.uint64(8)
+    for low in bands_of(n):
+        groups = max(1, low // 6)
+        need = n // 3 + 1 + groups
+        first = np.sort(np.partition(rank, need - 1)[:need] if need < n else rank)
+        group = (first & np.uint64((1 << 40) - 1)) % np.uint64(groups)
+        place = np.argsort(group, kind="stable")
+        group, own = group[place], first[place]
+        for k in range(1, len(own)):
+            i = np.flatnonzero(group[k:] == group[:-k])
+            if not len(i):
+                break
+            found.append(mix64(own[i] * np.uint64(0xD1342543DE82EF95) + own[i + k] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(low)))
+            late.append(np.minimum((7 * place[i + k] - n) * SLACK // (14 * groups), 127).astype(np.int8))
+    return (np.concatenate(found), np.concatenate(late)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
 
 
 def _deal(heat, buckets: int):
-    """Signatures in blobs by bucket: (members, then per member key, count and 32-bit signatures)."""
+    """Signatures in blobs by bucket: 32 bits of each signature, then all their positions, then the classes' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, keys, found, held = np.frombuffer(heat.value, np.uint8), set(), [], [], 0
+        table, seen, keys, found, late, held = np.frombuffer(heat.value, np.uint8), set(), [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            sizes = np.array([len(f) for f in found])
-            sig, owner = np.concatenate(found), np.repeat(np.arange(len(keys)), sizes)
+            sig, at = np.concatenate(found), np.concatenate(late)
+            key = np.repeat(np.array(keys, np.int64), [len(f) for f in found])
             bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((owner, bucket))
-            sig, owner, bucket = sig[order], owner[order], bucket[order]
-            begins = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            blobs = []
-            for a, b in zip(begins, [*begins[1:], len(bucket)], strict=True):
-                who, count = np.unique(owner[a:b], return_counts=True)
-                blobs.append(np.int64(len(who)).tobytes() + np.array(keys, np.int64)[who].tobytes() + count.astype(np.int32).tobytes() + sig[a:b].astype(np.uint32).tobytes())
-            out = pa.RecordBatch.from_arrays([pa.array(bucket[begins], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-            keys.clear()
-            found.clear()
+            order = np.argsort(bucket, kind="stable")
+            sig, at, key, bucket = sig[order].astype(np.uint32), at[order], key[order], bucket[order]
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            blobs = [sig[a:b].tobytes() + at[a:b].tobytes() + key[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            out = pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            for x in (keys, found, late):
+                x.clear()
             return out
 
         for batch in batches:
@@ -173,54 +191,98 @@ def _deal(heat, buckets: int):
                 key = _key(class_of(s))
                 if key in seen:
                     continue
+                if len(seen) >= 1 << 16:  # copies that this lets through fall together in their bucket
+                    seen.clear()
                 seen.add(key)
                 keys.append(key)
-                found.append(signatures(s, table))
+                for x, y in zip((found, late), signatures(s, table), strict=True):
+                    x.append(y)
                 held += len(found[-1])
                 if held >= HELD:
                     yield flush()
                     held = 0
-        if keys:
+        if held:
             yield flush()
 
     return run
 
 
-def _unpack(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    keys, count = np.frombuffer(blob, np.int64, n, 8), np.frombuffer(blob, np.int32, n, 8 + 8 * n)
-    sig = np.frombuffer(blob, np.uint32, offset=8 + 12 * n).astype(np.uint64) | np.uint64(bucket << 32)
-    return sig, np.repeat(keys, count)
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that share a signature: (list, key) for each distinct list of two or more."""
-    pieces = [_unpack(b, x) for batch in batches for b, x in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True)]
-    if not pieces:
+def _bucket_lists(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """(list, key, head) for each distinct list of two or more classes that share a signature of one bucket."""
+    sizes = [len(x) // 13 for x in blobs]
+    sig = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(blobs, sizes, strict=True)])
+    order = np.argsort(sig)
+    same = sig[order[1:]] == sig[order[:-1]]
+    some = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    if not len(some):
         return
-    sig, key = (np.concatenate(x) for x in zip(*pieces, strict=True))
-    pieces.clear()
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
+    late = np.concatenate([np.frombuffer(x, np.int8, n, 4 * n) for x, n in zip(blobs, sizes, strict=True)])[some].astype(np.int16)
+    key = np.concatenate([np.frombuffer(x[5 * n :], np.int64, n) for x, n in zip(blobs, sizes, strict=True)])[some]
+    sig = sig[some]
+    order = np.lexsort((key, late, sig))
+    sig, late, key = sig[order], late[order], key[order]
     fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
-    sig, key = sig[fresh], key[fresh]
-    begins = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    sig, late, key = sig[fresh], late[fresh], key[fresh]
+    begins, many = _runs_of(sig)
+    if not many.any():
+        return
+    # Each list is sorted by position: the earliest other member of the first one is the second.
+    earliest = np.repeat(late[begins], np.diff(np.append(begins, len(sig))))
+    seconds = begins[many] + 1
+    earliest[begins[many]] = late[seconds]
+    fine = late + earliest <= SLACK
+    fine &= np.repeat(many, np.diff(np.append(begins, len(sig))))
+    sig, key = sig[fine], key[fine]
+    if not len(sig):
+        return
+    begins, many = _runs_of(sig)
     sizes = np.diff(np.append(begins, len(sig)))
     names = mix64(np.add.reduceat(mix64(key.view(np.uint64)), begins) + sizes.astype(np.uint64))
-    many = np.flatnonzero(sizes > 1)
+    heads = np.minimum.reduceat(key, begins)
     _, one = np.unique(names[many], return_index=True)
-    for at in np.array_split(many[one], max(1, int(sizes[many[one]].sum()) >> 16)):
-        rows = np.concatenate([key[begins[i] : begins[i] + sizes[i]] for i in at]) if len(at) else key[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at].view(np.int64), sizes[at])), pa.array(rows)], names=["list", "key"])
+    kept = np.flatnonzero(many)[one]
+    for at in np.array_split(kept, max(1, int(sizes[kept].sum()) >> 16)):
+        if len(at):
+            rows = np.concatenate([key[begins[i] : begins[i] + sizes[i]] for i in at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at].view(np.int64), sizes[at])), pa.array(rows), pa.array(np.repeat(heads[at], sizes[at]))], names=["list", "key", "head"])
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
+def _runs_of(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one value begin, and which of them are longer than one."""
+    begins = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    return begins, np.diff(np.append(begins, len(sig))) > 1
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of bucket after bucket; rows come sorted by bucket, and one bucket is held at a time."""
+    now, held = None, []
     for batch in batches:
-        bits[batch.column("slot").to_numpy()] = True
-    packed = np.packbits(bits).reshape(-1, 4096)
-    used = np.flatnonzero(packed.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            if bucket != now and held:
+                yield from _bucket_lists(held)
+                held = []
+            now = bucket
+            held.append(blob)
+    if held:
+        yield from _bucket_lists(held)
+
+
+def _slot(ids: pa.Array, bits: int) -> np.ndarray:
+    """The slots of doc_ids in a filter; all null ones have one."""
+    known = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return (mix64(known.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _slots(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, bool)
+        for batch in batches:
+            table[_slot(batch.column("doc_id"), bits)] = True
+        packed = np.packbits(table).reshape(-1, 4096)
+        used = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+
+    return run
 
 
 def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,23 +294,16 @@ def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["block", "bits"])
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _bits(pa.RecordBatch.from_arrays([pa.array(_slot(b.column("doc_id").to_numpy()))], names=["slot"]) for b in batches)
-
-
-def _wanted(bits):
-    """Shingle sets of the documents that the filter lets through."""
+def _wanted(table, bits: int):
+    """Classes and shingle sets of the documents that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool)
+        passes = np.unpackbits(np.frombuffer(table.value, np.uint8)).view(bool)
         for batch in batches:
-            few = batch.filter(pa.array(table[_slot(batch.column("doc_id").to_numpy())]))
-            found = list(_sets(few))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["doc_id", "shingles"])
+            few = batch.filter(pa.array(passes[_slot(batch.column("doc_id"), bits)]))
+            for lo in range(0, few.num_rows, 200):
+                found = [s for _, s in _sets(few.slice(lo, 200)) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(class_of(s)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "shingles"])
 
     return run
 
@@ -271,18 +326,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame | None:
-    """Shingle sets (doc_id, shingles) of the wanted documents, None if there are none.
+def _sets_of(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Shingle sets (key, shingles) of the classes named by ``keys``, None if there are none.
 
-    A filter of fixed size spares most other documents; a join settles the rest.
+    A filter of bounded size spares most other documents; a join settles the rest.
     """
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in wanted.mapInArrow(_slots, "block int, bits binary").repartition("block").mapInArrow(_either, "block int, bits binary").toLocalIterator():
-        bits[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
-    if not bits.any():
+    wanted = Stored(keys.join(classes.select("key", F.col("rep").alias("doc_id")), "key"), "wanted").df
+    count = wanted.count()
+    if not count:
         return None
-    passed = docs.mapInArrow(_wanted(docs.sparkSession.sparkContext.broadcast(bits.tobytes())), "doc_id long, shingles binary")
-    return Stored(passed.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "shingles").df
+    bits = min(FILTER_BITS, max(16, (8 * count).bit_length()))
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for row in wanted.select("doc_id").mapInArrow(_slots(bits), "block int, bits binary").repartition("block").mapInArrow(_either, "block int, bits binary").toLocalIterator():
+        table[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    passed = docs.mapInArrow(_wanted(docs.sparkSession.sparkContext.broadcast(table.tobytes()), bits), "key long, shingles binary")
+    return Stored(passed.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "shingles").df
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,32 +352,31 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The true links among pairs (u, v) of class representatives, stored."""
-    near = pairs.join(classes.select(F.col("rep").alias("u"), F.col("sketch").alias("a"), F.col("n").alias("na")), "u")
-    near = near.join(classes.select(F.col("rep").alias("v"), F.col("sketch").alias("b"), F.col("n").alias("nb")), "v")
+    """The true links among pairs (u, v) of classes, stored."""
+    near = pairs.join(classes.select(F.col("key").alias("u"), F.col("sketch").alias("a"), F.col("n").alias("na")), "u")
+    near = near.join(classes.select(F.col("key").alias("v"), F.col("sketch").alias("b"), F.col("n").alias("nb")), "v")
     near = near.where("100 * least(na, nb) >= 75 * greatest(na, nb)").select("u", "v", "a", "b", (F.col("na") + F.col("nb")).alias("n"))
     near = Stored(near.mapInArrow(_possible, "u long, v long"), "possible").df
-    wanted = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
-    sets = _sets_of(docs, wanted)
+    sets = _sets_of(docs, near.select(F.col("u").alias("key")).unionByName(near.select(F.col("v").alias("key"))).distinct(), classes)
     if sets is None:
         return near
-    both = near.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+    both = near.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
     return Stored(both.mapInArrow(_verify, "u long, v long"), "links").df
 
 
-def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """Rows for each two blocks of a key's members, together in one task one after the other.
+def _in_blocks(rows: DataFrame, of: str) -> DataFrame:
+    """Rows for each two blocks of the members of a list or group, together in one task one after the other.
 
-    A key of up to BLOCK members has one block; a member of a longer one goes
-    to as many tasks as the key has blocks.
+    One of up to BLOCK members has one block; a member of a longer one goes
+    to as many tasks as it has blocks.
     """
-    parts = Stored(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"), "parts").df
-    rows = rows.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    parts = Stored(rows.groupBy(of).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"), "parts").df
+    rows = rows.join(parts, of, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("own", own).withColumn("other", other)
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "parts")
-    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "rep")
+    return rows.repartition(of, "i", "j").sortWithinPartitions(of, "i", "j", "key")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -343,16 +400,15 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches at their least common resolution, one row each."""
-    size = min(map(len, sketches))
-    return np.stack([np.frombuffer(s, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.uint8) for s in sketches])
+    """Sketches at their least common resolution, one row of 64-bit words each."""
+    size = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size), axis=0) for s in sketches])
 
 
 def _maybe(x: np.ndarray, n: np.ndarray, i: int, among: np.ndarray) -> np.ndarray:
     """Which of ``among`` the sizes and sketches do not rule out as similar to row i."""
     among = among[100 * np.minimum(n[among], n[i]) >= 75 * np.maximum(n[among], n[i])]
-    d = x[among] - x[i]
-    return among[7 * np.minimum(d, -d).sum(axis=1, dtype=np.int64) <= n[among] + n[i]]
+    return among[7 * np.bitwise_count(x[among] ^ x[i]).sum(axis=1, dtype=np.int64) <= n[among] + n[i]]
 
 
 class _Union:
@@ -375,14 +431,14 @@ class _Union:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, rep, component): members of a list that chains of possible links across components join."""
+    """(group, key, component): members of a list that chains of possible links across components join."""
     for rows in _runs(batches, "list"):
-        component, rep, n = (rows.column(c).to_numpy() for c in ("component", "rep", "n"))
+        component, key, n = (rows.column(c).to_numpy() for c in ("component", "key", "n"))
         if len(np.unique(component)) < 2:
             continue
-        x, joined, pairs = _folded(rows.column("sketch").to_pylist()), _Union(range(len(rep))), []
-        for i in range(len(rep) - 1):
-            rest = np.arange(i + 1, len(rep))
+        x, joined, pairs = _folded(rows.column("sketch").to_pylist()), _Union(range(len(key))), []
+        for i in range(len(key) - 1):
+            rest = np.arange(i + 1, len(key))
             for j in _maybe(x, n, i, rest[component[rest] != component[i]]).tolist():
                 joined.join(i, j)
                 pairs.append((i, j))
@@ -391,22 +447,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Few members: each possible pair is a group, so that equal pairs of many lists are compared once.
         out = [np.array(p) for p in pairs if sizes[roots[p[0]]] <= FEW] + [np.flatnonzero(roots == r) for r in np.flatnonzero(sizes > FEW)]
         if out:
-            names = [int(mix64(rep[g].view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) for g in out]
+            names = [int(mix64(key[g].view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) for g in out]
             at = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(g) for g in out])), pa.array(rep[at]), pa.array(component[at])], names=["group", "rep", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(g) for g in out])), pa.array(key[at]), pa.array(component[at])], names=["group", "key", "component"])
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that join a group's components: exact comparisons until no pair of different components is left."""
     for rows in _runs(batches, "group"):
-        rep, sets = rows.column("rep").to_numpy(), [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+        key, sets = rows.column("key").to_numpy(), [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
         n, x, found = np.array([len(s) for s in sets]), _folded([sketch(s) for s in sets]), []
         joined = _Union(rows.column("component").to_pylist())
-        for i in range(len(rep) - 1):
-            for j in _maybe(x, n, i, np.arange(i + 1, len(rep))).tolist():
+        for i in range(len(key) - 1):
+            for j in _maybe(x, n, i, np.arange(i + 1, len(key))).tolist():
                 if joined.find(i) != joined.find(j) and similar(sets[i], sets[j]):
                     joined.join(i, j)
-                    found.append((int(rep[i]), int(rep[j])))
+                    found.append((int(key[i]), int(key[j])))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], names=["u", "v"])
 
 
@@ -416,45 +472,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Links join documents whose sets of distinct 5-word shingles have a Jaccard
     similarity of 0.75 or more; component_id is the least doc_id that links
     reach.  Null texts are empty; documents without words have no shingle and
-    stand alone; rows with one doc_id are one node each class of equal sets;
-    other columns are ignored and an empty table gives an empty result.
+    stand alone.  Each row is a document: rows with equal texts are always
+    linked, and rows that share a doc_id only where their texts are.  Null
+    doc_ids count only where a component has no other (its id is then null).
+    Texts are read whole at any length; links do not depend on the order of rows,
+    so there are no ties to break.  Other columns are ignored and an empty table
+    gives an empty result.  Shingles are compared as 64-bit hashes and classes
+    are named by 64 bits of a sum of hashes, neither of which is checked further.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = Stored(docs.mapInArrow(_describe, "doc_id long, n long, name binary, key long, sketch binary, block int, counts binary"), "sets").df
+    described = Stored(docs.mapInArrow(_describe, "doc_id long, n long, key long, sketch binary, block int, counts binary"), "sets").df
     heat = spark.sparkContext.broadcast(heat_table(described).tobytes())  # 2**COUNT_BITS bytes at any size of input
-    rows = described.where("block is null").select("doc_id", "n", "name")
+    rows = described.where("block is null").select("doc_id", "n", "key")
 
-    classes = described.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    classes = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     classes = Stored(classes, "classes").df
 
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.mapInArrow(_deal(heat, buckets), "bucket int, blob binary").repartition("bucket")
-    lists = Stored(dealt.mapInArrow(_lists, "list long, key long"), "lists").df
-    members = Stored(lists.distinct().join(classes.select("key", "rep", "n"), "key").select("list", "rep", "n"), "members").df
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * parts, int(classes.agg(F.sum("n")).first()[0] or 0) * 5 // 4 // BUCKET)
+    dealt = docs.mapInArrow(_deal(heat, buckets), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    lists = Stored(dealt.mapInArrow(_lists, "list long, key long, head long"), "lists").df
+    members = Stored(lists.distinct(), "members").df
 
-    heads = Stored(members.groupBy("list").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")), "heads").df
-    first = members.join(heads, "list").where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()
-    links = _links(docs, first, classes)
-    known = Stored(components(links), "known").df.withColumnRenamed("u", "rep")
+    links = _links(docs, members.where("key <> head").select(F.col("head").alias("u"), F.col("key").alias("v")).distinct(), classes)
+    known = Stored(components(links), "known").df.withColumnRenamed("u", "key")
 
-    # Lists whose members lie in several components (the least member was compared with all).
-    told = members.join(heads.where("size > 2"), "list").where("rep <> head").join(known, "rep", "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    # Lists whose members lie in several components (the head was compared with all).
+    told = members.where("key <> head").join(known, "key", "left").select("list", "key", F.coalesce("component", "key").alias("component"))
     told = Stored(told, "told").df
     split = Stored(told.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("list"), "split").df
-    rows_of = told.join(split, "list").join(classes.select("rep", "sketch"), "rep")
-    groups = Stored(_in_blocks(rows_of.select("list", "rep", "n", "component", "sketch"), "list").mapInArrow(_groups, "group long, rep long, component long").distinct(), "groups").df
-    sets = _sets_of(docs, groups.select(F.col("rep").alias("doc_id")).distinct())
+    rows_of = told.join(split, "list").join(classes.select("key", "n", "sketch"), "key")
+    groups = Stored(_in_blocks(rows_of.select("list", "key", "n", "component", "sketch"), "list").mapInArrow(_groups, "group long, key long, component long").distinct(), "groups").df
+    sets = _sets_of(docs, groups.select("key").distinct(), classes)
     if sets is not None:
-        full = groups.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("group", "rep", "component", "shingles")
+        full = groups.join(sets, "key").select("group", "key", "component", "shingles")
         more = Stored(_in_blocks(full, "group").mapInArrow(_link_groups, "u long, v long"), "links").df
         # Known components stand for their links: each member to its least one.
-        stars = known.select(F.col("rep").alias("u"), F.col("component").alias("v"))
-        known = Stored(components(stars.unionByName(more)), "known").df.withColumnRenamed("u", "rep")
-
-    copies = Stored(classes.where("copies > 1").select("name", "rep"), "copies").df
-    out = rows.join(copies, "name", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(known, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        stars = known.select(F.col("key").alias("u"), F.col("component").alias("v"))
+        known = Stored(components(stars.unionByName(more)), "known").df.withColumnRenamed("u", "key")
+
+    # The least doc_id of each component, then of each class that has a partner or a copy.
+    linked = known.join(classes.select("key", "rep"), "key")
+    least = Stored(linked.groupBy("component").agg(F.min("rep").alias("least")), "least").df
+    lone = classes.where("copies > 1").join(known, "key", "left_anti").select("key", F.col("rep").alias("least"))
+    label = Stored(linked.join(least, "component").select("key", "least").unionByName(lone).withColumn("told", F.lit(True)), "labels").df
+    out = rows.join(label, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("told"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -1,38 +1,42 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
 Voters are words of a fixed lexicon, surface patterns, and words and word
-beginnings induced from labelled rows.  The label model gives each voter two
-rates, how often it fires on toxic and on other documents, and finds them
-together with the documents' posterior labels by expectation maximisation over
-labelled and unlabelled rows (a given label is one more voter, of fixed
-accuracy).  Voters that still agree given the posterior are dependent: their
-correlations say how many voters repeat each one's evidence, which is divided by
-that number when the model is fitted again.  A logistic classifier trained on
-the posterior labels then scores whole texts.
+beginnings induced from labelled rows.  The generative model says how each voter
+fires on toxic and on other documents, given the vote of one other voter on which
+it depends most: the voters' accuracies and their correlations are parameters,
+and the dependences form the tree of greatest conditional mutual information.  A
+given label is one more voter, whose accuracy is estimated too.  Expectation
+maximisation finds all of them together with the posterior labels, over the votes
+of every document that may be learned from.  A logistic classifier trained on
+posterior labels then scores whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_bytes, text_slices
+from .common import Stored, held_out, text_bytes, text_slices
 from .shingles import beginnings, word_hashes
 
 #: Fixed lexicon of insults: voters that need no labelled row.
 LEXICON = ("idiot moron stupid loser pathetic worthless scum trash disgusting clown dumb imbecile vermin filth jerk bastard idiota estúpido imbécil basura idiote crétin débile ordure trottel dummkopf abschaum versager").split()
 #: Bytes of word beginnings that may become voters (0: the whole word).
 PREFIXES = (0, 4, 5, 6, 7, 8, 9)
-#: Bounds of training: labelled rows, unlabelled rows, induced voters.
-LABELLED, UNLABELLED, INDUCED = 8000, 1500, 300
-#: Accuracy of a given label as a voter.
-LABEL_ACCURACY = 0.98
+#: Labelled rows from which voters are induced and the classifier learns, and the voters induced.
+LABELLED, INDUCED = 8000, 300
+#: Rounds of expectation maximisation without and with dependences.
+ROUNDS = 6
+#: Parts in which the votes of all documents are summed.
+PARTS = 64
 _GAPS = np.ones(256, bool)
 _GAPS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _PATTERNS = 3
@@ -76,7 +80,7 @@ class Model:
     voters: np.ndarray
     weights: np.ndarray
     bias: float
-    rates: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    labels: LabelModel | None = field(default=None)
 
     def votes(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which voters fire on each document: once or more, twice or more, then the patterns."""
@@ -104,37 +108,118 @@ def features(votes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate([votes, (np.log1p(np.diff(offsets))[:, None] / 10).astype(votes.dtype)], axis=1)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, share: np.ndarray | float = 1.0, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Rates (voters, 2) of firing given 0 and 1, and the posterior of each row.
-
-    ``labels`` holds 0, 1 or -1 (not known).  Expectation maximisation from the
-    labels where there are some, else from whether any voter fires; ``share`` is
-    the part of each voter's evidence that no other voter repeats.
+@dataclass
+class LabelModel:
+    """Share of toxic documents; P(label 1 | y); each voter's parent (-1: none); P(vote | y, parent's vote)."""
+
+    prior: float
+    label: np.ndarray
+    parent: np.ndarray
+    table: np.ndarray
+
+    def posterior(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """P(toxic) of each row of 0/1 votes; labels are 0, 1 or -1 (not known)."""
+        on, off = np.log(self.table[1] / self.table[0]), np.log((1 - self.table[1]) / (1 - self.table[0]))
+        mine, other = on - off, off[1] - off[0]
+        above = _above(votes, self.parent)
+        log = math.log(self.prior / (1 - self.prior)) + off[0].sum() + votes @ mine[0] + above @ other + (votes * above) @ (mine[1] - mine[0])
+        told = np.log(np.stack([1 - self.label, self.label]))[:, 1] - np.log(np.stack([1 - self.label, self.label]))[:, 0]
+        log += np.where(labels == 1, told[1], np.where(labels == 0, told[0], 0.0))
+        return 1 / (1 + np.exp(-np.clip(log, -30, 30)))
+
+
+def _above(votes: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The votes of each voter's parent, 0 without one."""
+    return np.where(parent >= 0, votes[:, np.maximum(parent, 0)], 0).astype(votes.dtype)
+
+
+def first_guess(votes: np.ndarray, labels: np.ndarray, any_label: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors to begin with, and the weight of each row: the labels, or where there are none whether voters fire."""
+    if any_label:
+        return np.where(labels == 1, 0.95, 0.05), (labels >= 0).astype(float)
+    return np.where(votes.any(axis=1), 0.7, 0.05), np.ones(len(labels))
+
+
+def moments(model: LabelModel | None, parent: np.ndarray, votes: np.ndarray, labels: np.ndarray, counts: np.ndarray, any_label: bool) -> np.ndarray:
+    """Sums by class: rows, labelled rows, rows labelled 1, votes, votes together with the parent's."""
+    both, out = votes * _above(votes, parent), []
+    for p in _classes(model, votes, labels, any_label):
+        w = p * counts
+        out.append(np.concatenate([[w.sum(), w[labels >= 0].sum(), w[labels == 1].sum()], w @ votes, w @ both]))
+    return np.array(out)
+
+
+def maximised(sums: np.ndarray, parent: np.ndarray) -> LabelModel:
+    """The model of greatest likelihood (with weak priors) for sums by class."""
+    n = (sums.shape[1] - 3) // 2
+    rows, told, ones, fired, both = sums[:, 0], sums[:, 1], sums[:, 2], sums[:, 3 : 3 + n], sums[:, 3 + n :]
+    alone = np.clip((fired + 0.05) / (rows[:, None] + 1), 1e-6, 1 - 1e-6)
+    above = np.where(parent >= 0, fired[:, np.maximum(parent, 0)], 0.0)
+    given = np.stack([(fired - both + 2 * alone) / (rows[:, None] - above + 2), (both + 2 * alone) / (above + 2)], axis=1)
+    label = np.clip((ones + [1, 9]) / (told + 10), 1e-4, 1 - 1e-4)
+    prior = float(np.clip((rows[1] + 1) / (rows.sum() + 20), 0.002, 0.5))
+    return LabelModel(prior, label, parent, np.clip(given, 1e-6, 1 - 1e-6))
+
+
+def dependences(rows: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Each voter's parent in the tree of greatest mutual information given the class, -1 where nothing speaks for one.
+
+    ``rows`` holds the weight of each class, ``both`` (2, n, n) how often two voters fire together.
     """
-    told = labels >= 0
-    known = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-    q = np.where(told, known, 0.05 if told.any() else np.where(votes.any(axis=1), 0.7, 0.05))
-    for _ in range(rounds):
-        rates = np.stack([(votes.T @ (1 - q) + 0.05) / ((1 - q).sum() + 1), (votes.T @ q + 0.05) / (q.sum() + 1)], axis=1)
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
-        prior = np.clip(q.mean() if len(q) else 0.1, 0.01, 0.5)
-        silent = share * np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
-        log = np.log(prior / (1 - prior)) + silent.sum() + votes @ (share * np.log(rates[:, 1] / rates[:, 0]) - silent)
-        log += np.where(told, np.log(known / (1 - known)), 0)
-        q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-    return rates, q
-
-
-def unrepeated(votes: np.ndarray, rates: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """1 / (1 + summed correlations with the other voters, given the posterior), for each voter."""
-    rest = votes - (np.outer(1 - q, rates[:, 0]) + np.outer(q, rates[:, 1])).astype(votes.dtype)
-    norm = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-    correlation = np.maximum((rest.T @ rest) / np.outer(norm, norm), 0)
-    np.fill_diagonal(correlation, 0)
-    return 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(axis=1))
-
-
-def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.1, rounds: int = 15) -> tuple[np.ndarray, float]:
+    n, total = both.shape[1], max(float(rows.sum()), 1e-9)
+    gain = np.zeros((n, n))
+    for m, size in zip(both, np.maximum(rows, 1e-9), strict=True):
+        one = np.diag(m) / size
+        p11 = m / size
+        for p, a, b in ((p11, one, one), (one[:, None] - p11, one, 1 - one), (one[None] - p11, 1 - one, one), (1 - one[:, None] - one[None] + p11, 1 - one, 1 - one)):
+            p = np.clip(p, 1e-12, 1)
+            gain += size / total * p * np.log(p / np.maximum(np.outer(a, b), 1e-12))
+    np.fill_diagonal(gain, 0)
+    gain[2 * total * gain < 11] = 0  # as likely by chance as one in a thousand
+    parent, best, source = np.full(n, -1), np.full(n, -1.0), np.full(n, -1)
+    left = np.ones(n, bool)
+    for _ in range(n):
+        i = int(np.argmax(np.where(left, best, -2)))
+        if best[i] > 0:
+            parent[i] = source[i]
+        left[i] = False
+        better = left & (gain[i] > best)
+        best[better], source[better] = gain[i][better], i
+    return parent
+
+
+def _classes(model: LabelModel | None, votes: np.ndarray, labels: np.ndarray, any_label: bool) -> list[np.ndarray]:
+    """The weight of each row in each class."""
+    q, weight = (model.posterior(votes, labels), 1.0) if model else first_guess(votes, labels, any_label)
+    return [(1 - q) * weight, q * weight]
+
+
+def estimated(sums: Callable[[LabelModel | None, np.ndarray], np.ndarray], together: Callable[[LabelModel | None], np.ndarray], voters: int) -> LabelModel:
+    """Expectation maximisation: ``sums`` gives the moments under a model, ``together`` the voters' joint ones.
+
+    The dependences are found under the first guess, so that repeated voters
+    never outvote the others, and once more under the model.
+    """
+    model, parent = None, np.full(voters, -1)
+    for _ in range(2):
+        parent = dependences(sums(model, parent)[:, 0], together(model))
+        for _ in range(ROUNDS):
+            model = maximised(sums(model, parent), parent)
+    return model
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[LabelModel, np.ndarray]:
+    """The model and the posteriors of rows held in memory."""
+    ones, any_label = np.ones(len(labels)), bool((labels >= 0).any())
+
+    def together(model: LabelModel | None) -> np.ndarray:
+        return np.stack([(votes * p[:, None]).T @ votes for p in _classes(model, votes, labels, any_label)])
+
+    model = estimated(lambda m, parent: moments(m, parent, votes, labels, ones, any_label), together, votes.shape[1])
+    return model, model.posterior(votes, labels)
+
+
+def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.5, rounds: int = 15) -> tuple[np.ndarray, float]:
     """Weights and bias that fit soft labels, by Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
@@ -148,13 +233,6 @@ def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.1, rounds: int = 1
     return w[:-1], float(w[-1])
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, bytes and offsets of runs of texts of about a megabyte, so that training needs little memory."""
-    column = pa.array(texts, pa.string())
-    for lo, hi in text_slices(column):
-        yield lo, *text_bytes(column.slice(lo, hi - lo))
-
-
 def _documents_with(raw: np.ndarray, offsets: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
     """Every mark once for each document that holds it, or those of ``only`` (sorted)."""
     hashes, first = marks(raw, offsets)
@@ -173,50 +251,140 @@ def _documents_with(raw: np.ndarray, offsets: np.ndarray, only: np.ndarray | Non
     return np.concatenate(out)
 
 
-def induced(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Marks that stand mostly in toxic labelled documents, the INDUCED strongest by likelihood ratio."""
-    toxic = [_documents_with(*x) for _, *x in _slices([t for t, y in zip(texts, labels, strict=True) if y == 1])]
-    if not toxic:
+def _marks(only: np.ndarray | None, wanted: int):
+    """In how many texts of rows labelled ``wanted`` each mark stands, batch by batch; all marks, or those of ``only``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.filter(pc.equal(batch.column("toxic"), wanted)).column("text")
+            for lo, hi in text_slices(column):
+                found, n = np.unique(_documents_with(*text_bytes(column.slice(lo, hi - lo)), only), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["mark", "n"])
+
+    return run
+
+
+def induced(sample: DataFrame, one: int, two: int) -> np.ndarray:
+    """Marks that stand mostly in toxic rows of ``sample`` (text, toxic), the INDUCED strongest by likelihood ratio.
+
+    ``one`` and ``two`` are the numbers of toxic and of other rows.
+    """
+    if not one:
         return np.zeros(0, np.uint64)
-    w, n = np.unique(np.concatenate(toxic), return_counts=True)
-    w, n = w[n >= 4], n[n >= 4]
-    if not len(w):
-        return w
-    m = np.zeros(len(w), np.int64)
-    for _, *x in _slices([t for t, y in zip(texts, labels, strict=True) if y == 0]):
-        np.add.at(m, np.searchsorted(w, _documents_with(*x, w)), 1)
-    one, two = max((labels == 1).sum(), 1), max((labels == 0).sum(), 1)
-    odds = np.log(((n + 0.5) / (one + 1)) / ((m + 0.5) / (two + 1)))
-    gain = n * odds - np.maximum((n - m * one / two), 0)
-    good = np.flatnonzero((odds > np.log(3)) & (gain > 8))
-    return w[good[np.argsort(-gain[good], kind="stable")[:INDUCED]]]
-
-
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    """The classifier from texts and labels 0, 1 or -1 (not known)."""
-    fixed = np.array([_hash_of(w) for w in LEXICON], np.uint64)
-    model = Model(np.unique(np.concatenate([fixed, induced(texts, labels)])), np.zeros(0), 0.0)
-    parts = [(model.votes(raw, offsets).astype(np.float32), np.diff(offsets)) for _, raw, offsets in _slices(texts)] or [(np.zeros((0, 2 * len(model.voters) + _PATTERNS), np.float32), np.zeros(0, np.int64))]
-    votes, sizes = np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts])
-    del parts
-    rates, q = label_model(votes, labels)
-    model.rates, q = label_model(votes, labels, unrepeated(votes, rates, q))
-    model.weights, model.bias = logistic(features(votes, np.concatenate([[0], np.cumsum(sizes)])), q)
-    return model
+    toxic = Stored(sample.mapInArrow(_marks(None, 1), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).where("n >= 4"), "marks").df
+    only = np.sort(np.array([r["mark"] for r in toxic.select("mark").toLocalIterator()], np.int64).view(np.uint64))
+    if not len(only):
+        return only
+    clean = sample.mapInArrow(_marks(only, 0), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("m"))
+    m = F.coalesce("m", F.lit(0))
+    odds = F.log((F.col("n") + 0.5) / (one + 1) / ((m + 0.5) / (two + 1)))
+    gain = F.round(F.col("n") * F.col("odds") - F.greatest(F.col("n") - m * (one / max(two, 1)), F.lit(0.0)), 9)
+    strong = toxic.join(clean, "mark", "left").withColumn("odds", odds).withColumn("gain", gain).where(f"odds > {math.log(3)} and gain > 8")
+    return np.array([r["mark"] for r in strong.orderBy(F.desc("gain"), "mark").limit(INDUCED).collect()], np.int64).view(np.uint64)
+
+
+def _packed(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Range of rows, their votes packed to bits, and the lengths of their texts."""
+    column = batch.column("text")
+    for lo, hi in text_slices(column):
+        raw, offsets = text_bytes(column.slice(lo, hi - lo))
+        yield lo, hi, np.packbits(model.votes(raw, offsets) > 0, axis=1), np.diff(offsets)
+
 
+def _patterns(model: Model):
+    """How many rows of a batch have the same votes and label."""
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """The classifier from bounded samples, the rows of least hash, none of them held out."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int8)
+            for lo, hi, bits, _ in _packed(model, batch):
+                rows, n = np.unique(np.concatenate([bits, toxic[lo:hi, None].view(np.uint8)], axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([r[:-1].tobytes() for r in rows], pa.binary()), pa.array(rows[:, -1].view(np.int8).astype(np.int32)), pa.array(n, pa.int64())], names=["votes", "toxic", "n"])
+
+    return run
+
+
+def _sample_votes(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, bits, sizes in _packed(model, batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("toxic").slice(lo, hi - lo), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "toxic", "votes", "size"])
+
+    return run
+
+
+def _unpacked(rows: list[bytes], voters: int) -> np.ndarray:
+    bits = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -(-voters // 8))
+    return np.unpackbits(bits, axis=1, count=voters).astype(np.float32)
+
+
+def _batch_votes(batch: pa.RecordBatch, voters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _unpacked(batch.column("votes").to_pylist(), voters), batch.column("toxic").to_numpy(), batch.column("n").to_numpy().astype(float)
+
+
+def over_all(patterns: DataFrame, voters: int, any_label: bool) -> LabelModel:
+    """The label model of all rows of ``patterns`` (votes, toxic, n), summed by the executors in each round."""
+
+    def sums(model: LabelModel | None, parent: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, 3 + 2 * voters))
+            for batch in batches:
+                if batch.num_rows:
+                    total += moments(model, parent, *_batch_votes(batch, voters), any_label)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        parts = [np.frombuffer(r["sums"]).reshape(2, -1) for r in patterns.mapInArrow(run, "sums binary").collect()]  # PARTS rows at most
+        return np.sum(parts, axis=0) if parts else np.zeros((2, 3 + 2 * voters))
+
+    def together(model: LabelModel | None) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, voters, voters), np.float32)
+            for batch in batches:
+                if batch.num_rows:
+                    votes, labels, n = _batch_votes(batch, voters)
+                    for t, p in zip(total, _classes(model, votes, labels, any_label), strict=True):
+                        t += (votes * (p * n)[:, None].astype(np.float32)).T @ votes
+            yield pa.RecordBatch.from_arrays([pa.array(range(2 * voters), pa.int32()), pa.array([r.tobytes() for r in total.reshape(2 * voters, voters)], pa.binary())], names=["row", "sums"])
+
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"row": frame["row"].iloc[:1], "sums": [np.sum([np.frombuffer(x, np.float32) for x in frame["sums"]], axis=0, dtype=np.float32).tobytes()]})
+
+        found = np.zeros((2 * voters, voters))
+        for r in patterns.mapInArrow(run, "row int, sums binary").groupBy("row").applyInPandas(add, "row int, sums binary").collect():  # one row a voter and class
+            found[r["row"]] = np.frombuffer(r["sums"], np.float32)
+        return found.reshape(2, voters, voters)
+
+    return estimated(sums, together, voters)
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+    """The classifier, from no row that is held out.
+
+    Voters are induced and the classifier is trained on at most ``labelled``
+    labelled rows (those of least hash); the label model is estimated over the
+    votes of all documents.  Of labels for one doc_id the largest counts, of
+    texts for one doc_id the sample takes the least.  Texts stay with the
+    executors; the driver sees votes of the sample and sums.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & ~held_out(F.coalesce("doc_id", F.lit(0))))
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    mix = F.xxhash64("doc_id")
-    told = given.where(~held_out(F.col("doc_id"))).orderBy(mix, "doc_id").limit(labelled).collect()
-    known = {r["doc_id"]: r["toxic"] for r in told}
-    more = [r["doc_id"] for r in docs.select("doc_id").orderBy(mix, "doc_id").limit(unlabelled).collect()]
-    wanted = sorted(set(known) | set(more))
-    few = docs.where(F.col("doc_id").isin(wanted)).dropDuplicates(["doc_id"]) if wanted else docs.limit(0)
-    rows = sorted((r["doc_id"], r["text"]) for r in few.select("doc_id", "text").toLocalIterator())
-    return train([t for _, t in rows], np.array([known.get(i, -1) for i, _ in rows], np.int64))
+    told = Stored(given.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "told").df
+    sample = docs.join(F.broadcast(told), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # ``labelled`` rows are sent
+    sample = Stored(sample, "sample").df
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    fixed = np.array([_hash_of(w) for w in LEXICON], np.uint64)
+    model = Model(np.unique(np.concatenate([fixed, induced(sample, sizes.get(1, 0), sizes.get(0, 0))])), np.zeros(0), 0.0)
+    voters = 2 * len(model.voters) + _PATTERNS
+    votes = docs.join(F.broadcast(told), "doc_id", "left").select("text", "toxic").mapInArrow(_patterns(model), "votes binary, toxic int, n long")
+    patterns = Stored(votes.groupBy("votes", "toxic").agg(F.sum("n").alias("n")).coalesce(PARTS), "patterns").df.coalesce(PARTS)
+    model.labels = over_all(patterns, voters, bool(sizes))
+    rows = sorted((r["doc_id"], r["toxic"], bytes(r["votes"]), r["size"]) for r in sample.mapInArrow(_sample_votes(model), "doc_id long, toxic int, votes binary, size long").toLocalIterator())
+    if not rows:  # no label: learn from the lexicon's posteriors over the commonest votes
+        rows = [(0, -1, bytes(r["votes"]), 500) for r in patterns.orderBy(F.desc("n"), "votes").limit(labelled).collect()]
+    held = _unpacked([r[2] for r in rows], voters)
+    q = model.labels.posterior(held, np.array([r[1] for r in rows], np.int64))
+    model.weights, model.bias = logistic(features(held, np.concatenate([[0], np.cumsum([r[3] for r in rows])])), q)
+    return model
 
 
 def _score(model: Model):
@@ -234,10 +402,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = Non
     """A row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
     Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0; the
-    score reads the text alone.  Null texts are empty, and an empty text has the
-    score of a document on which nothing fires.  With no labelled row the fixed
-    lexicon and the patterns vote alone.  Repeated rows give equal rows; an
-    empty table gives an empty result; other columns are ignored.
+    score reads the whole text alone, of any length.  Null texts are empty, and
+    an empty text has the score of a document on which nothing fires.  With no
+    labelled row the fixed lexicon and the patterns vote alone.  Repeated rows
+    give equal rows, and equal texts equal scores; a null doc_id counts as not
+    held out and keeps a null held_out; an empty table gives an empty result;
+    other columns are ignored.
     """
     model = model or fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -41,18 +41,35 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
-def test_label_model_discounts_repeated_voters():
+def test_label_model_learns_accuracies_and_correlations():
     rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.3
-    good = (rng.random((4000, 2)) < np.where(y, 0.8, 0.05)[:, None]).astype(float)
-    noise = (rng.random(4000) < 0.2).astype(float)
-    votes = np.column_stack([good, *[noise] * 6])
-    labels = np.where(rng.random(4000) < 0.2, y, -1)
-    rates, q = toxicity.label_model(votes, labels)
-    share = toxicity.unrepeated(votes, rates, q)
-    assert share[:2].min() > 0.5 and share[2:].max() < 0.25
-    rates, q = toxicity.label_model(votes, labels, share)
-    assert abs(rates[0, 1] - 0.8) < 0.08 and ((q > 0.5) == y).mean() > 0.9
+    y = rng.random(6000) < 0.3
+    good = (rng.random((6000, 2)) < np.where(y, 0.8, 0.05)[:, None]).astype(np.float32)
+    noise = (rng.random(6000) < 0.2).astype(np.float32)
+    near = np.where(rng.random(6000) < 0.1, 1 - good[:, 0], good[:, 0])  # repeats the first voter in 9 of 10 rows
+    votes = np.column_stack([good, near, *[noise] * 6]).astype(np.float32)
+    wrong = rng.random(6000) < 0.1
+    labels = np.where(rng.random(6000) < 0.3, y ^ wrong, -1)
+    model, q = toxicity.label_model(votes, labels)
+    assert (model.parent[0] == 2 or model.parent[2] == 0) and (model.parent[3:] >= 3).sum() == 5
+    assert 0.85 < model.label[1] < 0.98 and 0.005 < model.label[0] < 0.15  # 0.9 and 0.1; a few rounds come near
+    # The exact posterior under the true model, from the two good voters alone.
+    odds = np.log(0.3 / 0.7) + (good * np.log(0.8 / 0.05) + (1 - good) * np.log(0.2 / 0.95)).sum(axis=1)
+    unlabelled = labels < 0
+    assert np.corrcoef(q[unlabelled], 1 / (1 + np.exp(-odds[unlabelled])))[0, 1] > 0.97
+    assert ((q > 0.5) == y)[unlabelled].mean() > 0.9
+
+
+def test_label_model_over_executors_is_the_same(spark):
+    rng = np.random.default_rng(4)
+    y = rng.random(900) < 0.4
+    votes = (rng.random((900, 11)) < np.where(y, 0.7, 0.1)[:, None]).astype(np.float32)
+    labels = np.where(rng.random(900) < 0.3, y, -1).astype(int)
+    want, _ = toxicity.label_model(votes, labels)
+    rows = [(bytearray(np.packbits(v > 0).tobytes()), int(t), 1) for v, t in zip(votes, labels, strict=True)]
+    patterns = spark.createDataFrame(rows, "votes binary, toxic int, n long").repartition(3).groupBy("votes", "toxic").agg(F.sum("n").alias("n"))
+    found = toxicity.over_all(patterns, 11, True)
+    assert np.allclose(found.table, want.table, atol=1e-4) and (found.parent == want.parent).all() and np.allclose(found.label, want.label, atol=1e-4)
 
 
 def test_language(spark):

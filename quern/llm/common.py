@@ -72,6 +72,25 @@ def numbered_rows(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return Stored(df.withColumn(name, F.monotonically_increasing_id()), tag).df, name
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns c0, c1, ..., which no column that an operator adds is called, and their names by the old ones."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
+def united(bits: DataFrame) -> DataFrame:
+    """Unions of binary rows (block, bits) of equal length by block; a task holds one union a block."""
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, b in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                held[block] = held.get(block, 0) | np.frombuffer(b, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["block", "bits"])
+
+    return bits.repartition("block").mapInArrow(either, "block int, bits binary")
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for the rows that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, numbered_rows, text_bytes, text_slices
@@ -24,7 +24,7 @@ from .common import Stored, numbered_rows, text_bytes, text_slices
 #: Chunk sizes in bytes: no cut before LEAST, a cut about every 2**MASK_BITS after it, always one at MOST.
 LEAST, MASK_BITS, MOST = 512, 11, 16384
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
-_RECIPES = "doc_id long, text_sha256 string, recipe binary, digests binary"
+_RECIPES = "doc_id long, row long, text_sha256 string, recipe binary, digests binary"
 
 
 def cut_points(raw: np.ndarray) -> np.ndarray:
@@ -58,7 +58,7 @@ def chunk_ends(candidates: np.ndarray, start: int, end: int) -> list[int]:
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.binary()), ("digests", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text_sha256", pa.string()), ("recipe", pa.binary()), ("digests", pa.binary())])
     for batch in batches:
         column = batch.column("text")
         for lo, hi in text_slices(column, 4 << 20):
@@ -77,12 +77,14 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shas.append(hashlib.sha256(data[a:b]).hexdigest())
                 recipes.append(b"".join(names))
                 digests.append(b"".join(full))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(shas), pa.array(recipes, pa.binary()), pa.array(digests, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("row").slice(lo, hi - lo), pa.array(shas), pa.array(recipes, pa.binary()), pa.array(digests, pa.binary())], schema=schema)
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256, recipe (8 bytes a chunk) and digests (36 bytes a chunk)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_recipes, _RECIPES)
+def recipes(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, row (a number of its own for each), text_sha256, recipe (8 bytes a chunk) and digests (36 bytes a chunk)."""
+    number = F.monotonically_increasing_id() if row is None else row
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    return held.mapInArrow(_recipes, _RECIPES)
 
 
 def chunk_names(made: DataFrame) -> DataFrame:
@@ -96,50 +98,55 @@ def chunk_names(made: DataFrame) -> DataFrame:
 def _renamed(made: DataFrame, clashes: DataFrame) -> DataFrame:
     """Recipes in which every name of ``clashes`` is replaced by the chunk's digest."""
     at = F.posexplode(F.sequence(F.lit(1), F.expr("cast(length(recipe) / 8 as int)")))
-    parts = made.where(F.length("recipe") > 0).select("doc_id", "recipe", "digests", at.alias("i", "n"))
-    parts = parts.select("doc_id", "i", F.expr("substring(recipe, i * 8 + 1, 8)").alias("name"), F.expr("substring(digests, i * 36 + 1, 36)").alias("digest"))
+    parts = made.where(F.length("recipe") > 0).select("row", "recipe", "digests", at.alias("i", "n"))
+    parts = parts.select("row", "i", F.expr("substring(recipe, i * 8 + 1, 8)").alias("name"), F.expr("substring(digests, i * 36 + 1, 36)").alias("digest"))
     parts = parts.join(clashes.select("name", F.lit(True).alias("clash")), "name", "left")
     name = F.when(F.col("clash"), F.concat(F.lit("d"), F.hex("digest"))).otherwise(F.concat(F.lit("n"), F.hex("name")))
-    new = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", name.alias("x")))), lambda s: s["x"]), "").cast("binary").alias("renamed"))
-    return made.join(new, "doc_id", "left").select("doc_id", "text_sha256", F.coalesce("renamed", "recipe").alias("recipe"))
+    new = parts.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", name.alias("x")))), lambda s: s["x"]), "").cast("binary").alias("renamed"))
+    return made.join(new, "row", "left").select("doc_id", "row", "text_sha256", F.coalesce("renamed", "recipe").alias("recipe"))
+
+
+def _verified(made: DataFrame) -> DataFrame:
+    """doc_id, row, text_sha256 and recipe, equal exactly where texts are."""
+    clashes = chunk_names(made).where(F.col("least") != F.col("most"))
+    # With no two chunks of one name (the usual case) every name is verified as it stands.
+    return made.select("doc_id", "row", "text_sha256", "recipe") if clashes.isEmpty() else _renamed(made, clashes)
+
+
+def _best() -> Column:
+    """Of equal texts the largest doc_id, a null one only where there is no other; of its rows the first by number."""
+    return F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col("row")).alias("back")))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Groups of identical texts: doc_id, keep_id, group_size, kept, text_sha256.
 
     A row for every row of ``docs`` (doc_id, text).  A null text counts as the
-    empty text.  The largest doc_id of a group stays; should one doc_id stand in
-    several rows, each of them is a member.  Other columns are ignored, and an
-    empty table gives an empty result.  Long texts give long recipes and are
-    never compared byte by byte.  The groups are summed before the shuffle and
-    joined back by recipe; a recipe shared by a third of all rows is a skewed
-    join side that Spark splits.
+    empty text.  The largest doc_id of a group stays, in one row: should several
+    rows of the group carry it, the one of the least row number is kept.  A null
+    doc_id stays only where its group has no other, and keep_id is then null.
+    Other columns are ignored, and an empty table gives an empty result.  Texts
+    are read whole; long ones give long recipes and are never compared byte by
+    byte.  The groups are summed before the shuffle and joined back by recipe; a
+    recipe shared by a third of all rows is a skewed join side that Spark splits.
     """
-    stored = Stored(recipes(docs), "recipes")
-    made = stored.df
-    clashes = chunk_names(made).where(F.col("least") != F.col("most"))
-    # With no two chunks of one name (the usual case) every name is verified as it stands.
-    named = made.select("doc_id", "text_sha256", "recipe") if clashes.isEmpty() else _renamed(made, clashes)
-    groups = named.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    named = _verified(Stored(recipes(docs), "recipes").df)
+    groups = named.groupBy("recipe").agg(_best().alias("best"), F.count(F.lit(1)).alias("group_size"))
     shared = Stored(groups.where("group_size > 1"), "groups")  # read again as a plain join side, which Spark can replicate
     out = named.join(shared.df, "recipe", "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+    alone = F.col("group_size").isNull()
+    keep_id, kept = F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")), alone | (F.col("row") == -F.col("best.back"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns.
 
-    Rows are told apart by a number of their own: of equal texts the largest
-    doc_id stays (a null one only where there is no other), and of its rows one.
+    Rows are told apart by a number of their own and chosen as in
+    ``exact_groups``; an empty table gives an empty one.
     """
     rows, row = numbered_rows(docs, "rows")
-    made = Stored(recipes(rows.select(F.col(row).alias("doc_id"), "text")), "recipes").df
-    clashes = chunk_names(made).where(F.col("least") != F.col("most"))
-    named = made.select("doc_id", "recipe") if clashes.isEmpty() else _renamed(made, clashes)
-    own = rows.select(F.col(row).alias("_of"), F.col("doc_id").cast("long").alias("_id"))
-    named = named.join(own, named["doc_id"] == own["_of"])
-    best = F.max(F.struct(F.col("_id").isNotNull().alias("has"), F.col("_id").alias("id"), (-F.col("_of")).alias("back")))
-    keep = named.groupBy("recipe").agg(best.alias("best")).select((-F.col("best.back")).alias("_keep"))
+    named = _verified(Stored(recipes(rows, F.col(row)), "recipes").df)
+    keep = named.groupBy("recipe").agg(_best().alias("best")).select((-F.col("best.back")).alias("_keep"))
     kept = rows.join(keep, rows[row] == keep["_keep"], "left_semi")
     return kept.select(*(kept[c] for c in docs.columns))

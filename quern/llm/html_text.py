@@ -35,11 +35,14 @@ CLOSES_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot caption lege
 #: A start tag that ends an open element, and the elements at which the search for it stops.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements whose text is never read.
+P_SCOPE = ("button", "td", "th", "caption", "table", "object")
 UNREAD = RAW | frozenset("head select button object canvas svg math".split())
 #: Groups of words in class and id, each a feature.
 WORDS = ("nav menu breadcrumb pagination pager toc", "header masthead banner topbar branding", "footer foot copyright colophon legal", "sidebar side aside widget rail related recommended popular", "ad ads advert advertisement sponsor sponsored promo promotion", "cookie consent notice alert popup modal newsletter subscribe banner gdpr overlay", "comment comments reply respond disqus discussion", "share social follow login search form signup", "article content main post entry story body text prose")
 TAGS = ("article main section div p h1 h2 h3 h4 h5 h6 nav header footer aside form ul ol li a table td tr blockquote pre figure figcaption span b i em strong body html dl dd dt label dialog menu address small").split()
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+_STARTS = re.compile(r"</?[a-zA-Z]")
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _KINDS = {t: i for i, t in enumerate(TAGS)}
@@ -56,9 +59,27 @@ class Page:
     texts: list[tuple[int, int, str]] = field(default_factory=list)
 
 
+def _tokens(html: str) -> Iterator[re.Match]:
+    """Comments and tags.  Once a tag's quotes run to the end of the page, later ones end at their first '>'."""
+    pattern, at, last = _TOKEN, 0, html.rfind(">")
+    while (at := html.find("<", at)) >= 0:
+        comment = html.startswith("<!--", at)
+        if at > last and not comment:
+            return
+        m = pattern.match(html, at)
+        if not m and pattern is _TOKEN and _STARTS.match(html, at):
+            pattern = _PLAIN
+            m = pattern.match(html, at)
+        at = m.end() if m else at + 1
+        if m:
+            skip = yield m
+            at = skip or at
+
+
 def parse(html: str) -> Page:
-    """The element tree of a page, with omitted end tags supplied; never fails."""
+    """The element tree of a page, with omitted end tags supplied; never fails, and takes time in proportion."""
     page, stack, block, blocks, at = Page([-1], ["#root"], [""]), [0], 0, 0, 0
+    places: dict[str, list[int]] = {}  # where in the stack elements of a tag are open
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
@@ -66,40 +87,41 @@ def parse(html: str) -> Page:
         elif piece and page.texts and page.texts[-1][1] == block:
             page.texts.append((stack[-1], block, " "))
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(index: int) -> None:
         nonlocal block, blocks
-        if any(page.tag[n] in BLOCKS for n in stack[index:]):
+        gone = [page.tag[n] for n in stack[index:]]
+        if any(t in BLOCKS for t in gone):
             blocks += 1
             block = blocks
+        for t in gone:
+            places[t].pop()
         del stack[index:]
 
-    while m := _TOKEN.search(html, at):
+    found, skip = _tokens(html), None
+    while True:
+        try:
+            m = found.send(skip)
+        except StopIteration:
+            break
+        skip = None
         text(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] == tag:
-                    close(i)
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] == "p":
-                    close(i)
-                    break
-                if page.tag[stack[i]] in ("button", "td", "th", "caption", "table", "object"):
-                    break
+        if tag in CLOSES_P and innermost(("p",)) > innermost(P_SCOPE):
+            close(places["p"][-1])
         if tag in ENDS:
             ended, stops = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] in stops:
-                    break
-                if page.tag[stack[i]] in ended:
-                    close(i)
-                    break
+            if (index := innermost(ended)) > innermost(stops - ended):
+                close(index)
         if tag == "br":
             text(" ")
             continue
@@ -114,13 +136,14 @@ def parse(html: str) -> Page:
         page.names.append(" ".join(x for g in _NAMES.findall(m[3]) for x in g if x).lower() if m[3] else "")
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            skip = at = end.end() if end else len(html)
             continue
         if m[3].endswith("/") and tag in ("svg", "path", "math"):
             continue
         if tag in BLOCKS:
             blocks += 1
             block = blocks
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
     text(html[at:])
     return page
@@ -223,7 +246,7 @@ def _log_add(a: float, b: float) -> float:
     return max(a, b) + log1p(exp(-abs(a - b))) if abs(a - b) < 40 else max(a, b)
 
 
-def labelled_pages(count: int, seed: int = 5) -> Iterator[tuple[str, list[str]]]:
+def labelled_pages(count: int, seed: int = 5) -> Iterator[str]:
     """Pages of many layouts; elements of the article carry the attribute ``data-y``."""
     r = Random(seed)
 
@@ -292,7 +315,7 @@ def labelled_pages(count: int, seed: int = 5) -> Iterator[tuple[str, list[str]]]
         if r.random() < 0.3:
             main = f"<{(o := r.choice(('div', 'main', 'section')))}{y}>{main}" + (clutter() if r.random() < 0.4 else "") + f"</{o}>"
         before, after = "".join(clutter() for _ in range(r.randint(0, 4))), "".join(clutter() for _ in range(r.randint(0, 4)))
-        yield f"<!DOCTYPE html><html{y}><head><title>{line(2, 9)}</title><style>p{{}}</style></head><body{y}>{before}{main}{after}" + r.choice(("</body></html>", "")), []
+        yield f"<!DOCTYPE html><html{y}><head><title>{line(2, 9)}</title><style>p{{}}</style></head><body{y}>{before}{main}{after}" + r.choice(("</body></html>", ""))
 
 
 @cache
@@ -304,7 +327,7 @@ def trained(count: int = 300, rounds: int = 45, seed: int = 5) -> TreeModel:
     under the model, which sum-product gives exactly on trees; Adam climbs it.
     """
     pages = []
-    for html, _ in labelled_pages(count, seed):
+    for html in labelled_pages(count, seed):
         marked = [m[3].rstrip().endswith("data-y") or " data-y " in m[3] for m in _TOKEN.finditer(html) if m[2] and not m[1] and m[2].lower() not in VOID]
         page = parse(html)
         y, kinds = np.array([1, *map(int, marked)]), _kinds_of(page)
@@ -371,7 +394,8 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
 
     A null or empty html gives the empty text, as does a page on which nothing
     is content.  Markup may be broken: end tags are supplied, and an unclosed
-    comment or script runs to the end.  Repeated rows give equal rows; an empty
+    comment or script runs to the end.  Pages are read whole, in time that grows
+    with their length; a probability of exactly one half counts as content.  Repeated rows give equal rows; an empty
     table gives an empty result; other columns are ignored.
     """
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, text_bytes, text_slices
+from .common import Stored, held_out, text_bytes, text_slices
 
 #: Bytes of a window, of which the last WIDTHS[-1] - 1 are also the first of the next.
 WINDOW, WIDTHS = 256, (2, 3, 4)
@@ -163,15 +163,16 @@ def fit(docs: DataFrame, per_language: int = 600, parts: int = 3) -> ByteNet | N
     places set by that hash.  None if there is no labelled row.
     """
     mix = F.xxhash64("doc_id")
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    few = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), mix.alias("mix")).withColumn("part", F.pmod("mix", F.lit(64)))
-    for keys in (["lang", "part"], ["lang"]):  # first in parts, so that a language of very many rows is no single task
-        order = Window.partitionBy(*keys).orderBy("mix", "doc_id")
-        few = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    chosen = [r["doc_id"] for r in few.select("doc_id").collect()]
-    places = [F.substring(F.col("text"), (F.pmod(F.shiftright(F.xxhash64("doc_id"), 7 * i), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(parts)]
-    rows = labelled.where(F.col("doc_id").isin(chosen)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.array(*places).alias("cuts")).collect() if chosen else []
-    rows = sorted(rows, key=lambda r: r["doc_id"])
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), "text", mix.alias("mix"))
+    # Of each language only the rows below a hash that leaves about four times as many as are wanted reach its window.
+    sizes = Stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages").df
+    unit = (F.col("mix") / 2.0**64) + 0.5
+    few = labelled.join(sizes, "lang").where(unit * F.col("size") <= 4 * per_language)
+    places = [F.substring(F.col("text"), (F.pmod(F.shiftright("mix", 7 * i), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(parts)]
+    few = few.select("doc_id", "lang", "mix", F.array(*places).alias("cuts"))
+    order = Window.partitionBy("lang").orderBy("mix", "doc_id", "cuts")
+    rows = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang", "cuts").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["cuts"]))
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
@@ -190,8 +191,9 @@ def identify(docs: DataFrame, net: ByteNet | None = None) -> DataFrame:
     ``lang`` is read only where crc32(doc_id) mod 5 is not 0, to train; source
     and doc_id are never inputs.  Texts that are null or without letters are
     'und' with score 0, and so is every text if nothing could be learned.  The
-    score is the mean probability over all windows of the text.  Repeated rows
-    give equal rows; an empty table gives an empty result.
+    score is the mean probability over all windows of the text, however many; of
+    equally likely languages the first by name is given.  Repeated rows give
+    equal rows; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col("lang")] if "lang" in docs.columns else []))
     if net is None and "lang" in docs.columns:

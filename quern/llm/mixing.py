@@ -16,34 +16,16 @@ import heapq
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, plain_names
 
-#: Slots of one round of whole shares.
-RESOLUTION = 1024
-#: Sources are categories of a corpus: with more of them than this no schedule is made.
-MOST_SOURCES = 10_000
-#: Parts over which the rows of one source are numbered, so that a hot source is no single task.
-PARTS = 256
-
-
-def quantised(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Whole shares of ``resolution``, at least 1 each, by largest remainder."""
-    total = sum(weights.values())
-    ideal = {s: Fraction(w) / Fraction(total) * resolution for s, w in weights.items()}
-    share = {s: max(1, int(x)) for s, x in ideal.items()}
-    order = sorted(weights, key=lambda s: (share[s] - ideal[s], s))
-    short = resolution - sum(share.values())
-    for i in range(max(0, short)):
-        share[order[i % len(order)]] += 1
-    while sum(share.values()) > resolution:  # many tiny sources were raised to 1
-        most = max(share, key=lambda s: (share[s], s))
-        share[most] -= 1
-    return share
+#: Rows of one part, over which the rows of a source are numbered, so that a hot source is no single task.
+PART_ROWS = 50_000
 
 
 def deal(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
@@ -89,43 +71,27 @@ def deal(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[st
             heapq.heappush(waiting, (*window(i, j + 1), i, j + 1))
 
 
-def pattern(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source in one round of sum(share) slots."""
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for slot, (s, _) in enumerate(deal(share, share)):
-        slots[s].append(slot)
-    return slots
-
-
-def _dealt(blocks: dict[str, int], weights: dict[str, float]):
-    """The slot of every block, in batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> pa.RecordBatch:
-            sources, numbers = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(sources), pa.array(numbers, pa.int64()), pa.array(range(slot + 1 - len(rows), slot + 1), pa.int64())], names=["source", "source_block", "slot"])
-
-        for batch in batches:
-            rows, slot = [], -1
-            for _ in range(batch.num_rows):
-                for slot, row in enumerate(deal(blocks, weights)):
-                    rows.append(row)
-                    if len(rows) == 1 << 14:
-                        yield made()
-                        rows = []
-            if rows:
-                yield made()
-
-    return run
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slot of every block of the sources (source, blocks, weight) that reach this task, in batches."""
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("source", "blocks", "weight")), strict=True)]
+    order = deal({s: n for s, n, _ in rows}, {s: w for s, _, w in rows})
+    del rows
+    slot = 0
+    while held := list(islice(order, 1 << 14)):
+        sources, numbers = zip(*held, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(sources), pa.array(numbers, pa.int64()), pa.array(range(slot, slot + len(held)), pa.int64())], names=["source", "source_block", "slot"])
+        slot += len(held)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds ``before``: the size of all rows of the same source ahead, by doc_id.
 
-    Each source is spread over PARTS parts by a hash; parts are summed first, so
-    that the running sum of a hot source is taken in many tasks.
+    Each source is spread by a hash over as many parts as the table has
+    PART_ROWS; parts are summed first, so that the running sum of a hot source
+    is taken in many tasks.
     """
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(PARTS)).cast("int"))
+    parts = 16 + rows.count() // PART_ROWS
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)).cast("int"))
     by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("sum"))
     bases = Stored(sums.select("source", "part", F.coalesce(F.sum("sum").over(by_part), F.lit(0)).alias("base")), "bases").df
@@ -144,33 +110,39 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     every source if it is None, gets its count of characters to the power
     ``temper``, so that small sources are met early and often.  No row is
     dropped or repeated.  A null source is the source ''; a null or empty text
-    has size 1; repeated doc_ids are ordered by a hash of the text; an empty
-    table gives an empty result; other columns are ignored.
+    has size 1; a text longer than a block stands in the one where it starts;
+    repeated doc_ids are ordered by a hash of the text (rows equal in both stand
+    one after the other), null doc_ids first; sources of equal deadline run in
+    the order of their names; an empty table gives an empty result; other
+    columns are ignored.  One task deals the blocks and holds the sources, of
+    which there may be any number; larger blocks make its work less.
     """
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.greatest(F.length(text), F.lit(1)).cast("long").alias("size"), F.xxhash64(text).alias("tie"))
-    rows = Stored(rows, "sizes").df
-    totals = {r["source"]: r["total"] for r in rows.groupBy("source").agg(F.sum("size").alias("total")).limit(MOST_SOURCES + 1).collect()}
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
-    given = weights or {}
-    target = {s: float(given.get(s, n**temper)) for s, n in totals.items()}
-    if any(not w > 0 for w in target.values()):
+    spark, rows = docs.sparkSession, Stored(rows, "sizes").df
+    totals = rows.groupBy("source").agg(F.sum("size").alias("total"))
+    weight = F.pow("total", F.lit(float(temper)))
+    if weights:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, given double")
+        totals, weight = totals.join(given, "source", "left"), F.coalesce("given", weight)
+    targets = Stored(totals.select("source", F.ceil(F.col("total") / int(block)).cast("long").alias("blocks"), weight.alias("weight")), "targets").df
+    if not targets.where("not (weight > 0 and weight < double('infinity'))").isEmpty():
         raise ValueError("target weights must be positive")
-    deck = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(_dealt({s: -(-n // block) for s, n in totals.items()}, target), "source string, source_block long, slot long")
-    slots = Stored(deck, "slots").df
+    slots = Stored(targets.coalesce(1).mapInArrow(_dealt, "source string, source_block long, slot long"), "slots").df
     rows = numbered(rows).withColumn("source_block", F.expr(f"before div {int(block)}"))
     rows = rows.join(slots, ["source", "source_block"])
     return rows.select("doc_id", "source", "source_block", F.expr(f"before % {int(block)}").alias("position"), "slot")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """All rows and columns of ``docs``, sorted by their place in the schedule.
+    """All rows and columns of ``docs``, sorted by their place in the schedule; an empty table stays empty.
 
     Written as files, the rows lie in mixture order from the first file to the
     last.  Rows that share a doc_id stand at the earliest of their places.
     """
-    places = schedule(docs, **options).groupBy("doc_id").agg(F.min(F.struct("slot", "position")).alias("_place")).withColumnRenamed("doc_id", "_doc")
-    placed = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(places["_doc"])).orderBy(places["_place"], docs["doc_id"])
-    return placed.select(*(docs[c] for c in docs.columns))
+    rows, name = plain_names(docs)
+    places = schedule(docs, **options).groupBy("doc_id").agg(F.min(F.struct("slot", "position")).alias("place")).withColumnRenamed("doc_id", "of")
+    key = F.col(name["doc_id"]).cast("long")
+    placed = rows.join(places, key.eqNullSafe(F.col("of"))).orderBy("place", key, F.xxhash64(F.col(name["text"]).cast("string")))
+    return placed.drop("of", "place").toDF(*docs.columns)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, mix64, numbered_rows, text_bytes, text_slices
+from .common import Stored, mix64, numbered_rows, text_bytes, text_slices, united
 from .components import components
 from .shingles import shingle_sets
 
@@ -285,15 +285,6 @@ def _slots(bits: int):
     return run
 
 
-def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unions of the bits of each block that reaches this task."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, b in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-            held[block] = held.get(block, 0) | np.frombuffer(b, np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["block", "bits"])
-
-
 def _wanted(table, bits: int):
     """Classes and shingle sets of the documents that the filter lets through."""
 
@@ -337,7 +328,7 @@ def _sets_of(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame
         return None
     bits = min(FILTER_BITS, max(16, (8 * count).bit_length()))
     table = np.zeros((1 << bits) // 8, np.uint8)
-    for row in wanted.select("doc_id").mapInArrow(_slots(bits), "block int, bits binary").repartition("block").mapInArrow(_either, "block int, bits binary").toLocalIterator():
+    for row in united(wanted.select("doc_id").mapInArrow(_slots(bits), "block int, bits binary")).toLocalIterator():
         table[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
     passed = docs.mapInArrow(_wanted(docs.sparkSession.sparkContext.broadcast(table.tobytes()), bits), "key long, shingles binary")
     return Stored(passed.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "shingles").df
@@ -525,7 +516,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component, with all columns.
 
     Rows are told apart by a number of their own: of a component the least
-    doc_id stays (a null one only where there is no other), and of its rows one.
+    doc_id stays (a null one only where there is no other), and of its rows one
+    (a tie that the rows' numbers decide).  An empty table gives an empty one.
     """
     rows, row = numbered_rows(docs, "rows")
     found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), "component_id")

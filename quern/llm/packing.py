@@ -92,9 +92,9 @@ def closing(pieces: list[tuple], window: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _pack(tokenizer_file: str, end_id: int, window: int):
+def _pack(tokenizer_file: str, end_id: int, window: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer.shared(tokenizer_file)
+        tokenizer = WordTokenizer.shared(tokenizer_file, special_as_text)
         levels, sequence, rows = LevelArray(window), TaskContext.get().partitionId() << SHARD_BITS, []
 
         def emit(held: list[tuple]) -> None:
@@ -131,18 +131,21 @@ def _pack(tokenizer_file: str, end_id: int, window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, window: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, window: int = 4096, special_as_text: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most ``window`` tokens.
 
     One row per piece: doc_id, start (tokens of its document before it),
     length, ids_crc32 (of its ids as little-endian 32-bit words), doc_tokens
     (with the end id), sequence_id and offset in the sequence.  A null text is
-    the empty text, whose document is the end id alone; repeated rows are
-    packed once each; an empty table gives no piece; columns other than doc_id
-    and text are ignored.  No shuffle: each partition of ``docs`` is a shard and
+    the empty text, whose document is the end id alone; a text of more than a
+    window fills whole windows first; repeated rows are packed once each, and a
+    null doc_id stays null; equal levels are chosen fullest first; an empty table
+    gives no piece; columns other than doc_id and text are ignored.  The string
+    of a special token in a text gives that token's id, as the library has it by
+    default, or with ``special_as_text`` the ids of its characters.  No shuffle: each partition of ``docs`` is a shard and
     is read once, in order, with only the pieces of open windows held.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return held.mapInArrow(_pack(tokenizer_file, end_id, window), _PIECES)
+    return held.mapInArrow(_pack(tokenizer_file, end_id, window, special_as_text), _PIECES)

@@ -1,6 +1,8 @@
 """Personal data: fixed patterns, then information-theoretic sanitisation of terms.
 
-The values that the patterns find are protected entities.  Over the whole
+The values that the patterns find are protected entities, and so are the parts
+that values share: the host of an address, a network, the first digits of a
+number.  So a term can reveal what entities seen once have in common.  Over the whole
 corpus n(c) documents hold the entity c, n(t) the term t outside of entities and
 n(c,t) both, wherever they stand in it; each row is a document, copies too.  The
 pointwise mutual information log(N n(c,t) / (n(c) n(t))) says how much t tells of
@@ -22,19 +24,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, mix64, texts
-from .spans import Span, digest, joined, parsed, replaced
+from .common import Stored, mix64, texts, united
+from .spans import Span, digest, joined, parsed, replacing
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The base patterns.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # sought from the start of each run of digits, where a match must begin
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
@@ -73,11 +74,16 @@ def _emails(text: str) -> Iterator[Span]:
         at = max(at + 1, end)
 
 
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """The fixed patterns' matches, leftmost and non-overlapping for each kind; failing ones are dropped."""
     found = list(_emails(text)) if "@" in text else []
     if _DIGITS.search(text):
-        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = "".join(_DIGITS.findall(m[0]))
             if 14 <= len(digits) <= 19 and _luhn(digits):
@@ -92,10 +98,23 @@ def _hash(term: str) -> int:
     return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def entities_of(kind: str, value: str) -> Iterator[str]:
+    """An entity and the parts of its value that several entities share: host, network, area or issuer."""
+    yield f"{kind}:{value}"
+    if kind == "email":
+        yield f"host:{value.rpartition('@')[2].lower()}"
+    elif kind == "ip":
+        parts = value.split(".")
+        yield f"net:{'.'.join(parts[:3])}"
+        yield f"net:{'.'.join(parts[:2])}"
+    else:
+        yield f"{kind} begins:{''.join(_DIGITS.findall(value))[:6 if kind == 'card' else 4]}"
+
+
 def _split(text: str) -> tuple[list[Span], set[str], str]:
     """The base spans, the entities, and the text with spaces for them."""
     own = base_spans(text)
-    entities = {f"{kind}:{text[a:b]}" for kind, a, b in own}
+    entities = {e for kind, a, b in own for e in entities_of(kind, text[a:b])}
     rest, at = [], 0
     for _, a, b in sorted(own, key=lambda s: s[1:]):
         if b > at:
@@ -203,17 +222,10 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
 
 
-def _either(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(4096, np.uint8)
-    for b in frame["bits"]:
-        total |= np.frombuffer(b, np.uint8)
-    return pd.DataFrame({"block": frame["block"].iloc[:1], "bits": [total.tobytes()]})
-
-
 def _filter(keys: DataFrame):
     """A broadcast of 2**FILTER_BITS bits, of which those of ``keys`` (column key) are set."""
     bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in keys.select("key").mapInArrow(_slots, "block int, bits binary").groupBy("block").applyInPandas(_either, "block int, bits binary").toLocalIterator():
+    for row in united(keys.select("key").mapInArrow(_slots, "block int, bits binary")).toLocalIterator():
         bits[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
     return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
 
@@ -254,8 +266,11 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8) -> DataFrame:
     """A row per row of ``docs``: doc_id, counts by kind, base_sha256, spans, n_term.
 
     Null texts are empty and give no span; every row is a document of its own,
-    also where rows share a doc_id or are copies; an empty table gives an empty
-    result; columns other than doc_id and text are ignored.
+    also where rows share a doc_id (or have none) or are copies; texts are read
+    whole at any length, in time that grows with it, but for the pairs of an
+    entity and a term of one document; of base matches that overlap each kind
+    keeps its own; an empty table gives an empty result; columns other than
+    doc_id and text are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     told = Stored(disclosing_terms(docs, disclosure), "told").df
@@ -271,8 +286,5 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, disclosure: float = 0.8) -> DataFrame:
-    """``docs`` (doc_id unique) with entities and disclosing terms in ``text`` generalised to their kind."""
-    replace = F.udf(lambda text, spans: text if not spans else replaced(text or "", parsed(spans)))
-    found = find_personal_data(docs, disclosure).select(F.col("doc_id").alias("_doc"), "spans")
-    rows = docs.join(found, docs["doc_id"] == found["_doc"], "left")
-    return rows.select(*(replace(docs["text"], "spans").alias("text") if c == "text" else docs[c] for c in docs.columns))
+    """``docs`` with entities and disclosing terms in ``text`` generalised to their kind; rows and columns stay as they are."""
+    return replacing(docs, lambda rows: find_personal_data(rows, disclosure))

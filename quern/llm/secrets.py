@@ -1,15 +1,19 @@
 """Secret scan: fixed patterns, then a battery of randomness tests under FDR control.
 
-Candidates are long runs of characters in which keys are written.  For each the
-smallest encoding that holds it is inferred, down to digits or letters of one
-case, and tests ask whether it could be uniform in that encoding: chi-squared
-over single characters at every length (the exact distribution of the statistic
-where fewer than five of each are expected), chi-squared over its character
-classes where it has several, runs above and below the middle of the alphabet,
-and serial correlation of neighbours.  Benjamini-Hochberg
-over all candidates of one length class of the corpus then decides which are
-*not* random; the others are reported as secrets.  Of the true keys only a share
-of about ``level`` is so cleared, at any mix of lengths.
+Candidates are long runs of characters in which keys are written, also where a
+pattern found them.  For each the smallest encoding that holds it is inferred,
+down to digits or letters of one case, and tests ask whether it could be uniform
+in that encoding: chi-squared over single characters at every length (the exact
+distribution of the statistic where fewer than five of each are expected),
+chi-squared over its character classes where it has several, runs above and below
+the middle of the alphabet, and serial correlation of neighbours.  A candidate
+that fails the battery is ordinary.  For the others the hypothesis to reject is
+that the corpus writes such tokens: a model of neighbouring characters, counted
+over all words of the corpus, gives the probability of the token, and its ratio
+to the uniform probability bounds the chance of an ordinary token that looks so
+random.  Benjamini-Hochberg over all candidates of one length class of the corpus
+decides which are reported, so that of the reported tokens a share of at most
+``level`` is expected to be ordinary.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, texts
-from .spans import Span, digest, joined, parsed, replaced
+from .common import Stored, text_bytes, text_slices, texts
+from .spans import Span, digest, joined, parsed, replacing
 
 KINDS = ("assign", "access", "hex", "random")
 #: The base patterns, and what a match must have to count.
@@ -33,9 +37,11 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs of [0-9a-f] of 24 or more
 _HINT = re.compile(r"(?ai:passw|secret|token|api_?key)")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 #: Least lengths of the length classes.
-LENGTHS = (20, 24, 32, 48, 64)
+LENGTHS = (16, 20, 24, 32, 48, 64)
+#: A candidate whose battery has a smaller p-value is not random.
+UNIFORM = 0.001
 #: p-values are counted in bins of -log10(p) of this width, up to the last bin.
 BIN, BINS = 0.05, 400
 #: Encodings from small to large: name, its characters in order, and its classes.
@@ -116,10 +122,15 @@ def _uniform(counts: np.ndarray) -> float:
     return float(tail[pairs]) if pairs < len(tail) else 1e-11
 
 
+def _encoding(token: str) -> tuple[frozenset, dict[str, int], np.ndarray]:
+    """The smallest encoding that holds the token."""
+    signs = frozenset(token)
+    return next(e for e in _encodings() if signs <= e[0])
+
+
 def randomness(token: str) -> float:
     """p-value of the battery that ``token`` is uniform in its inferred encoding (Bonferroni over the tests)."""
-    signs = frozenset(token)
-    _, number, classes = next(e for e in _encodings() if signs <= e[0])
+    _, number, classes = _encoding(token)
     v = np.array([number[c] for c in token])
     n, size = len(v), len(number)
     p = [_uniform(np.bincount(v, minlength=size))]
@@ -139,33 +150,84 @@ def randomness(token: str) -> float:
     return max(min(1.0, len(p) * min(p)), 1e-300)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: The letters and digits as numbers 0 to 61, 62 for + / _ -, which stand between words of a token, 255 for all else.
+_CODES = np.full(256, 255, np.uint8)
+_CODES[np.frombuffer((_DIG + _UP + _LOW).encode(), np.uint8)] = np.arange(62)
+_CODES[np.frombuffer(b"+/_-", np.uint8)] = 62
+_START = 62
+#: The model's share of characters between words, and of each single one.
+BETWEEN = 0.05
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often one letter or digit follows another, or begins a word (after number 62), in this task's texts."""
+    total = np.zeros(63 * 62, np.int64)
     for batch in batches:
-        base, tested = [], []
-        for text in texts(batch):
-            own = base_spans(text)
-            taken = [(a, b) for _, a, b in own]
-            more = []
-            for m in _CANDIDATE.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b in taken):
-                    continue
-                kind = sum(len(m[0]) >= n for n in LENGTHS) - 1
-                more.append({"start": m.start(), "end": m.end(), "length_class": kind, "bin": min(BINS, int(-math.log10(randomness(m[0])) / BIN))})
-            base.append(joined(own, KINDS))
-            tested.append(more)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("length_class", pa.int32()), ("bin", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.string()), pa.array(tested, kind)], names=["doc_id", "base", "tested"])
-
-
-def cleared_bins(counts: dict[tuple[int, int], int], level: float) -> dict[int, int]:
-    """For each length class the least bin that Benjamini-Hochberg rejects (BINS + 1: none)."""
+        column = batch.column("text")
+        for lo, hi in text_slices(column):
+            raw, offsets = text_bytes(column.slice(lo, hi - lo))
+            code = np.minimum(_CODES[raw], 62).astype(np.int64)
+            before = np.concatenate([[62], code[:-1]]) if len(code) else code
+            before[offsets[:-1][offsets[:-1] < len(code)]] = 62
+            word = code < 62
+            total += np.bincount(before[word] * 62 + code[word], minlength=63 * 62)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["pair", "n"])
+
+
+def ordinary(docs: DataFrame) -> np.ndarray:
+    """Logarithms of P(character | the one before) over all words of ``docs`` (text), row 62 for the first of a word."""
+    counts = np.zeros(63 * 62)
+    for row in docs.select("text").mapInArrow(_neighbours, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 63 x 62 rows at most
+        counts[row["pair"]] = row["n"]
+    counts = counts.reshape(63, 62) + 0.5
+    return np.log(counts / counts.sum(axis=1, keepdims=True) * (1 - BETWEEN))
+
+
+def surprise(token: str, model: np.ndarray) -> float:
+    """-log10 of a bound of the chance that an ordinary token is so much better explained as uniform in some encoding.
+
+    P(ordinary) / P(uniform) is the inverse of a mean-one statistic, so by
+    Markov's inequality it is a p-value; the choice of one of the encodings is
+    paid for by their number.
+    """
+    code = _CODES[np.frombuffer(token.encode(), np.uint8)].astype(np.int64)
+    before = np.concatenate([[_START], code[:-1]])
+    word = code < 62
+    log = model[before[word], code[word]].sum() + (~word).sum() * math.log(BETWEEN / 4)
+    size = len(_encoding(token)[1])
+    return -(log + len(token) * math.log(size) + math.log(len(ENCODINGS))) / math.log(10)
+
+
+def _scan(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.value
+        for batch in batches:
+            base, tested = [], []
+            for text in texts(batch):
+                base.append(joined(base_spans(text), KINDS))
+                more = []
+                for m in _CANDIDATE.finditer(text):
+                    far = min(max(surprise(m[0], known), 0.0), BIN * BINS)
+                    if far and randomness(m[0]) < UNIFORM:
+                        far = 0.0
+                    more.append({"start": m.start(), "end": m.end(), "length_class": sum(len(m[0]) >= n for n in LENGTHS) - 1, "bin": int(far / BIN)})
+                tested.append(more)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("length_class", pa.int32()), ("bin", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.string()), pa.array(tested, kind)], names=["doc_id", "base", "tested"])
+
+    return run
+
+
+def reported_bins(counts: dict[tuple[int, int], int], level: float) -> dict[int, int]:
+    """For each length class the least bin that Benjamini-Hochberg reports (BINS + 1: none); bin 0 holds p-values up to 1."""
     out = {}
     for kind in range(len(LENGTHS)):
         of = [counts.get((kind, b), 0) for b in range(BINS + 1)]
         total, above, best = sum(of), 0, BINS + 1
         for b in range(BINS, -1, -1):
             above += of[b]
-            if above and 10 ** (-b * BIN) <= level * above / total:  # the largest p-value of the bin
+            if b and above and 10 ** (-b * BIN) <= level * above / total:  # the largest p-value of the bin
                 best = b
         out[kind] = best
     return out
@@ -179,7 +241,7 @@ def _finish(least: dict[int, int]):
             for base, tested in zip(batch.column("base").to_pylist(), batch.column("tested").to_pylist(), strict=True):
                 found = parsed(base)
                 digests.append(digest(base))
-                found += [("random", t["start"], t["end"]) for t in tested if t["bin"] < least[t["length_class"]]]
+                found += [("random", t["start"], t["end"]) for t in tested if t["bin"] >= least[t["length_class"]]]
                 for k in KINDS:
                     n[k].append(sum(s[0] == k for s in found))
                 spans.append(joined(found, KINDS))
@@ -192,20 +254,21 @@ def _finish(least: dict[int, int]):
 def find_secrets(docs: DataFrame, level: float = 0.05) -> DataFrame:
     """A row per row of ``docs``: counts by kind, base_sha256, spans, n_random.
 
-    Null texts are empty and give no span; repeated rows give equal rows; an
-    empty table gives an empty result; columns other than doc_id and text are
-    ignored.  The whole text is read whatever its length.
+    Base spans stay as the patterns give them; a candidate that the battery
+    reports is a ``random`` span, also inside a base one.  Null texts are empty
+    and give no span; repeated rows give equal rows; candidates of one bin of
+    p-values are reported together; an empty table gives an empty result;
+    columns other than doc_id and text are ignored.  The whole text is read
+    whatever its length.
     """
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = Stored(held.mapInArrow(_scan, "doc_id long, base string, tested array<struct<start: int, end: int, length_class: int, bin: int>>"), "secrets").df
+    model = docs.sparkSession.sparkContext.broadcast(ordinary(held))
+    scanned = Stored(held.mapInArrow(_scan(model), "doc_id long, base string, tested array<struct<start: int, end: int, length_class: int, bin: int>>"), "secrets").df
     counted = scanned.select(F.explode("tested").alias("t")).groupBy("t.length_class", "t.bin").count().collect()  # at most classes x bins rows
-    least = cleared_bins({(r["length_class"], r["bin"]): r["count"] for r in counted}, level)
+    least = reported_bins({(r["length_class"], r["bin"]): r["count"] for r in counted}, level)
     return scanned.mapInArrow(_finish(least), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def redacted(docs: DataFrame, level: float = 0.05) -> DataFrame:
-    """``docs`` (doc_id unique) with every secret in ``text`` replaced by its kind in brackets."""
-    replace = F.udf(lambda text, spans: text if not spans else replaced(text or "", parsed(spans)))
-    found = find_secrets(docs, level).select(F.col("doc_id").alias("_doc"), "spans")
-    joined_rows = docs.join(found, docs["doc_id"] == found["_doc"], "left")
-    return joined_rows.select(*(replace(docs["text"], "spans").alias("text") if c == "text" else docs[c] for c in docs.columns))
+    """``docs`` with every secret in ``text`` replaced by its kind in brackets; rows and columns stay as they are."""
+    return replacing(docs, lambda rows: find_secrets(rows, level))

@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import numbered_rows, plain_names
 
 Span = tuple[str, int, int]
 
@@ -30,3 +36,17 @@ def replaced(text: str, spans: Iterable[Span]) -> str:
             out += [text[at:a], f"[{kind.upper()}]"]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def replacing(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with the spans that ``find`` gives for (doc_id, text) replaced in ``text``; rows are told apart by numbers."""
+
+    @F.pandas_udf("string")
+    def replace(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if not s else replaced(t or "", parsed(s)) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    rows, row = numbered_rows(docs, "rows")
+    found = find(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("number"), F.col("spans").alias("found"))
+    held, name = plain_names(rows)
+    held = held.join(found, F.col(name[row]) == F.col("number"))
+    return held.withColumn(name["text"], replace(name["text"], "found")).select(*(name[c] for c in docs.columns)).toDF(*docs.columns)

@@ -41,18 +41,18 @@ class _Numbers(dict):
 class WordTokenizer:
     """Encodes with a word-wise tokenizer file of the ``tokenizers`` library."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(file)
-        self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.inner.encode_special_tokens = special_as_text
         self._clear()
 
     @staticmethod
     @cache
-    def shared(file: str) -> WordTokenizer:
+    def shared(file: str, special_as_text: bool = False) -> WordTokenizer:
         """One per Python worker."""
-        return WordTokenizer(file)
+        return WordTokenizer(file, special_as_text)
 
     def _clear(self) -> None:
         self.pieces = _Numbers()

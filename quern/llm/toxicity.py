@@ -219,14 +219,14 @@ def label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[LabelModel, np.n
     return model, model.posterior(votes, labels)
 
 
-def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.5, rounds: int = 15) -> tuple[np.ndarray, float]:
-    """Weights and bias that fit soft labels, by Newton steps."""
+def logistic(x: np.ndarray, q: np.ndarray, weight: np.ndarray | float = 1.0, penalty: float = 0.5, rounds: int = 15) -> tuple[np.ndarray, float]:
+    """Weights and bias that fit soft labels of weighted rows, by Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
     keep[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (p - q) + keep * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (weight * (p - q)) + keep * w)
         w -= step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-5:
             break
@@ -378,12 +378,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     votes = docs.join(F.broadcast(told), "doc_id", "left").select("text", "toxic").mapInArrow(_patterns(model), "votes binary, toxic int, n long")
     patterns = Stored(votes.groupBy("votes", "toxic").agg(F.sum("n").alias("n")).coalesce(PARTS), "patterns").df.coalesce(PARTS)
     model.labels = over_all(patterns, voters, bool(sizes))
-    rows = sorted((r["doc_id"], r["toxic"], bytes(r["votes"]), r["size"]) for r in sample.mapInArrow(_sample_votes(model), "doc_id long, toxic int, votes binary, size long").toLocalIterator())
+    rows = sorted((r["doc_id"], r["toxic"], bytes(r["votes"]), r["size"], 1) for r in sample.mapInArrow(_sample_votes(model), "doc_id long, toxic int, votes binary, size long").toLocalIterator())
     if not rows:  # no label: learn from the lexicon's posteriors over the commonest votes
-        rows = [(0, -1, bytes(r["votes"]), 500) for r in patterns.orderBy(F.desc("n"), "votes").limit(labelled).collect()]
+        rows = [(0, -1, bytes(r["votes"]), 500, r["n"]) for r in patterns.orderBy(F.desc("n"), "votes").limit(labelled).collect()]
     held = _unpacked([r[2] for r in rows], voters)
     q = model.labels.posterior(held, np.array([r[1] for r in rows], np.int64))
-    model.weights, model.bias = logistic(features(held, np.concatenate([[0], np.cumsum([r[3] for r in rows])])), q)
+    model.weights, model.bias = logistic(features(held, np.concatenate([[0], np.cumsum([r[3] for r in rows])])), q, np.array([r[4] for r in rows], float))
     return model
 
 

@@ -63,6 +63,13 @@ def test_exact_groups(spark, corpus):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_one_of_identical_rows_is_kept(spark):
+    rows = [(1, "same"), (1, "same"), (2, "other"), (None, "other"), (None, "null"), (None, "null"), (3, None), (4, ""), (5, "two texts"), (5, "of one id")]
+    found = [(x.doc_id, x.keep_id, x.group_size, x.kept) for x in exact_dedup.exact_groups(documents(spark, rows).withColumn("row", F.lit(0))).collect()]
+    want = [(1, 1, 2, True), (1, 1, 2, False), (2, 2, 2, True), (None, 2, 2, False), (None, None, 2, True), (None, None, 2, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (5, 5, 1, True)]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_stages_keep_rows_by_row(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(None, "alone and clean with some words"), (None, "shared by two rows here"), (4, "shared by two rows here"), (7, "the same row twice over"), (7, "the same row twice over"), (9, long), (9, "copied text under two ids"), (8, "copied text under two ids"), (9, "copied text under two ids"), (None, "null twice in a row here"), (None, "null twice in a row here")]
@@ -77,11 +84,12 @@ def test_stages_keep_rows_by_row(spark):
 
 
 def test_clashing_chunk_names_are_told_apart(spark, monkeypatch):
-    made = spark.createDataFrame([(1, "s1", bytearray(b"N" * 8), bytearray(b"a" * 36)), (2, "s2", bytearray(b"N" * 8), bytearray(b"b" * 36)), (3, "s1", bytearray(b"N" * 8), bytearray(b"a" * 36)), (4, "s4", bytearray(), bytearray())], "doc_id long, text_sha256 string, recipe binary, digests binary")
+    rows = [(1, 11, "s1", b"N", b"a"), (1, 12, "s2", b"N", b"b"), (3, 13, "s1", b"N", b"a"), (4, 14, "s4", b"", b"")]
+    made = spark.createDataFrame([(i, row, sha, bytearray(name * 8), bytearray(digest * 36)) for i, row, sha, name, digest in rows], "doc_id long, row long, text_sha256 string, recipe binary, digests binary")
     clashes = exact_dedup.chunk_names(made).where("least <> most")
     assert clashes.count() == 1
-    recipes = {x.doc_id: bytes(x.recipe) for x in exact_dedup._renamed(made, clashes).collect()}
-    assert recipes[1] == recipes[3] != recipes[2] and recipes[4] == b""
+    recipes = {x.row: bytes(x.recipe) for x in exact_dedup._renamed(made, clashes).collect()}
+    assert recipes[11] == recipes[13] != recipes[12] and recipes[14] == b""
 
 
 def test_chunks_follow_content():
@@ -208,18 +216,6 @@ def test_components(spark, monkeypatch):
     assert {x.u: x.component for x in cc.components(df).collect()} == want
 
 
-def test_pfair_stays_within_a_block():
-    r = random.Random(2)
-    for _ in range(30):
-        share = mixing.quantised({f"s{i}": r.random() ** 3 + 1e-4 for i in range(r.randint(1, 30))}, 256)
-        n = sum(share.values())
-        slots = mixing.pattern(share)
-        assert n == 256 and sorted(x for v in slots.values() for x in v) == list(range(n))
-        for s, at in slots.items():
-            done = np.searchsorted(at, np.arange(n + 1))
-            assert (np.abs(done - share[s] * np.arange(n + 1) / n) < 1).all()
-
-
 @pytest.mark.parametrize("case", ["equal", "tiny", "mixed"])
 def test_deal_stays_within_a_block_of_the_target(case):
     r = random.Random(8)
@@ -270,6 +266,14 @@ def test_mixing(spark):
     assert mixing.schedule(docs.limit(0)).count() == mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_very_many_sources(spark):
+    docs = spark.range(12_000).selectExpr("id as doc_id", "'text' as text", "concat('s', id) as source")
+    slots = sorted(r.slot for r in mixing.schedule(docs).select("slot").collect())
+    assert slots == list(range(12_000))
+    with pytest.raises(ValueError):
+        mixing.schedule(docs, {"s1": -1.0})
+
+
 def test_level_array_minimises_the_sum_of_squares():
     r = random.Random(5)
     levels, window = packing.LevelArray(16), 16
@@ -295,7 +299,6 @@ def test_packing(spark, corpus):
 
     file = vocabulary(PACKING_VOCABULARY)
     plain = Tokenizer.from_file(file)
-    plain.encode_special_tokens = True
     rows = [*corpus, (9001, "ΑΣ Σίσυφος I'LL é <|endoftext|> a\x1cb 12,3. 日本語!!"), (9002, "word " * 9000)]
     texts = dict(rows)
     found = packing.pack(documents(spark, rows).coalesce(2), file, window=256).collect()
@@ -317,6 +320,9 @@ def test_packing(spark, corpus):
             at += x.length
         assert at <= 256 and at & (at - 1) == 0
     assert packing.pack(documents(spark, rows).limit(0), file).count() == 0
+    special = documents(spark, [(1, "x <|endoftext|> y"), (1, "x<|endoftext|>y")])
+    assert [r.doc_tokens for r in packing.pack(special, file).orderBy("doc_tokens").collect()] == [4, 4]
+    assert min(r.doc_tokens for r in packing.pack(special, file, special_as_text=True).collect()) > 4
 
 
 @pytest.mark.parametrize("shard_rows", [1 << 15, 60])

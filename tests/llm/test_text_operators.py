@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +190,23 @@ def test_base_spans(text):
     assert secrets.joined(secrets.base_spans(text), secrets.KINDS) == plain(text, SECRETS)
 
 
+@pytest.mark.parametrize("text", ["9" * 300_000, "9" * 5000 + ".1.1.1", "1." * 150_000, "+1" + "(" * 100_000, "x@y.zz " * 20_000, "10.0.0.1 " * 20_000, "a" * 300_000 + "@", "secret: " * 30_000, "Ab3" * 100_000, "deadbeef" * 40_000])
+def test_long_texts_take_little_time(text):
+    began = time.perf_counter()
+    pii._split(text)
+    secrets.base_spans(text)
+    for m in secrets._CANDIDATE.finditer(text):
+        secrets.randomness(m[0])
+    assert time.perf_counter() - began < 2
+
+
+@pytest.mark.parametrize("html", ["<div>" * 50_000, "<p" * 50_000, "<a '" * 50_000 + ">", "<ul><li>" * 20_000, "<p><button>" + "<div>" * 30_000, "<div>" * 20_000 + "<li></li>" * 20_000, "<!" * 50_000, "<td>x" * 30_000, "<b>" * 30_000 + "</i>" * 30_000])
+def test_long_pages_take_little_time(html):
+    began = time.perf_counter()
+    html_text.parse(html)
+    assert time.perf_counter() - began < 2
+
+
 def test_spans_of_rows(spark):
     docs = documents(spark, [(10 + i, t) for i, t in enumerate(CASES)] + ODD)
     for found, kinds in ((pii.find_personal_data(docs), PII), (secrets.find_secrets(docs), SECRETS)):
@@ -226,6 +245,48 @@ def test_terms_are_marked_without_the_entity(spark):
     assert clean[50] == "later [TERM] went home, [TERM] said [TERM]，and 张三 stayed"
 
 
+def test_terms_of_shared_parts(spark):
+    """Every address is seen once, yet a term reveals their host."""
+    rows = [(i, f"Quagmire wrote common words to u{i}@corp.example and left") for i in range(12)]
+    rows += [(100 + i, f"common words wrote to and left filler u{i}@mail.example") for i in range(12)]
+    rows += [(200 + i, "common words wrote to and left filler") for i in range(400)] + [(700, "then Quagmire left")]
+    docs = documents(spark, rows)
+    found = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    told = {i: {t[a:b] for k, a, b in pii.parsed(found[i].spans) if k == "term"} for i, t in rows}
+    assert told[0] == told[700] == {"Quagmire"} and not told[100] and not told[200]
+
+
+def brute_terms(rows, disclosure=0.8):
+    """The disclosing terms, by counting every pair."""
+    split = [pii._split(t or "") for _, t in rows]
+    own, terms = [e for _, e, _ in split], [pii._terms(rest) for _, _, rest in split]
+    n, alone, seen = len(rows), Counter(x for s in own for x in s), Counter(x for s in terms for x in s)
+    both = Counter((c, t) for s, u in zip(own, terms, strict=True) for c in s for t in u)
+    return {t for (c, t), k in both.items() if k >= pii.SUPPORT and np.log(n * k / (alone[c] * seen[t])) > disclosure * np.log(n / alone[c]) + 1e-12}
+
+
+def test_terms_against_counting(spark, sf_dir):
+    names = ["Zanzibar", "Quagmire", "Ωmega"]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for k, name in enumerate(names):  # planted: a name that goes with one address, and once without it
+        rows += [(10_000 + 100 * k + i, f"{rows[i * 7 + k][1]} {name} mail{k}@person.example") for i in range(5)] + [(10_000 + 100 * k + 50, f"only {name} here")]
+    want, found = brute_terms(rows), {r.doc_id: r for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    assert {n.lower() for n in names} <= want
+    for i, t in rows:
+        _, _, rest = pii._split(t or "")
+        assert {(a, b) for k, a, b in pii.parsed(found[i].spans) if k == "term"} == {(a, b) for x, a, b in pii._places(rest) if x in want}
+    assert all("term" in found[10_050 + 100 * k].spans for k in range(3))
+
+
+def test_replacing_rows_of_one_id(spark):
+    rows = [(1, "a jane@corp.example"), (1, "b joe@corp.example"), (None, "c amy@corp.example"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit("x"), "c0": F.lit(1), "_row": F.lit(2), "found": F.lit(3), "number": F.lit(4)})
+    for f in (pii.sanitised, secrets.redacted):
+        out = f(docs)
+        assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in pii.sanitised(docs).collect()), key=str) == sorted([(1, "a [EMAIL]"), (1, "b [EMAIL]"), (None, "c [EMAIL]"), (2, None)], key=str)
+
+
 def test_terms_by_documents(spark):
     rows = [(i, "Quagmire signed jane@corp.example") for i in range(40)] + [(40, "also Quagmire and jane@corp.example"), (41, "then Quagmire, to jane@corp.example")]
     rows += [(50 + i, "Zyzzy greets joe@corp.example") for i in range(20)]  # a single surrounding
@@ -235,6 +296,12 @@ def test_terms_by_documents(spark):
     assert told[0] == told[40] == told[41] == {"Quagmire"} and told[50] == {"Zyzzy"} and not told[100]
 
 
+def prose(rng, n):
+    """Words of a few syllables, some with numbers, as a corpus writes them."""
+    parts = "in ter na tion al ize con sti tu ment re form able pro gress ver sion sys tem data base".split()
+    return ["".join(rng.choice(parts, rng.integers(1, 9))) + ("" if rng.random() < 0.9 else str(rng.integers(0, 3000))) for _ in range(n)]
+
+
 def test_randomness_battery(spark):
     rng = np.random.default_rng(5)
     signs = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
@@ -242,10 +309,51 @@ def test_randomness_battery(spark):
     p = [secrets.randomness(k) for k in keys]
     assert sum(x < 0.05 for x in p) < 10
     assert max(secrets.randomness(w) for w in ("a" * 30, "some_snake_case_name_xy", "0123456789" * 4)) < 0.05
-    docs = documents(spark, [(i, f"see {k} there and internationalizationally") for i, k in enumerate(keys)])
+    docs = documents(spark, [(i, f"see {k} there and internationalizationally {' '.join(prose(rng, 60))}") for i, k in enumerate(keys)])
     found = secrets.find_secrets(docs).collect()
     assert sum(r.n_random for r in found) >= 54
-    assert "[RANDOM]" in secrets.redacted(docs).collect()[0].text or found[0].n_random == 0
+    assert "[RANDOM]" in secrets.redacted(docs).collect()[0].text
+
+
+def test_reported_tokens_are_keys(spark):
+    rng = np.random.default_rng(6)
+    kinds = {"hex": "0123456789abcdef", "lower": "abcdefghijklmnopqrstuvwxyz", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    planted, rows = {}, []
+    for i in range(800):
+        words = prose(rng, 80)
+        words += ["_".join(prose(rng, 3)), "/".join(prose(rng, 3)), "".join(w.capitalize() for w in prose(rng, 4)), "20260101123456789"]
+        if i % 20 == 0:
+            key = "".join(rng.choice(list(kinds[sorted(kinds)[i // 20 % 4]]), int(rng.integers(24, 50))))
+            planted[i] = key
+            words[3] = f"{'token=' if i % 40 else ''}{key}"
+        rows.append((i, " ".join(words)))
+    found = {r.doc_id: r for r in secrets.find_secrets(documents(spark, rows)).collect()}
+    told = {(i, rows[i][1][a:b]) for i, r in found.items() for k, a, b in secrets.parsed(r.spans) if k == "random"}
+    right = told & set(planted.items())
+    assert len(right) >= 0.9 * len(planted) and len(told - right) <= max(1, 0.05 * len(told))
+
+
+def test_reported_bins_against_benjamini_hochberg():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        bins = np.concatenate([np.floor(-np.log10(rng.random(300)) / secrets.BIN), rng.integers(20, 300, rng.integers(0, 30))]).astype(int)
+        p = np.sort(10 ** (-bins * secrets.BIN))
+        fine = np.flatnonzero(p <= 0.05 * np.arange(1, len(p) + 1) / len(p))
+        limit = p[fine[-1]] if len(fine) else 0.0
+        least = secrets.reported_bins({(2, int(b)): int((bins == b).sum()) for b in np.unique(bins)}, 0.05)[2]
+        assert {int(b) for b in bins if b >= least} == {int(b) for b in bins if 10 ** (-b * secrets.BIN) <= limit and b}
+
+
+def test_ordinary_model_counts_the_corpus(spark):
+    rows = [(1, "ab ab a9/Ab"), (2, None), (3, "é ab"), (4, "b")]
+    model = secrets.ordinary(documents(spark, rows).repartition(2))
+    code = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")}
+    want = np.full((63, 62), 0.5)
+    for _, t in rows:
+        for w in re.findall("[A-Za-z0-9]+", t or ""):
+            for x, y in zip(" " + w, w, strict=False):
+                want[code.get(x, 62), code[y]] += 1
+    assert np.allclose(np.exp(model), want / want.sum(axis=1, keepdims=True) * (1 - secrets.BETWEEN))
 
 
 @pytest.mark.parametrize("signs", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +48,27 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A DataFrame written to the shared folder, so that later jobs start from it."""
 
+    made: ClassVar[list[Stored]] = []
+
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         small_batches(self.spark)
         self.path = f"{shared_dir(self.spark).rstrip('/')}/quern-{tag}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
+        Stored.made.append(self)
 
     @property
     def df(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
+    @classmethod
+    def drop_since(cls, mark: int, keep: Stored) -> None:
+        """Delete what was stored since ``made`` had ``mark`` members, but for ``keep``; no later job may read it."""
+        gone = [s for s in cls.made[mark:] if s is not keep]
+        cls.made[mark:] = [keep]
+        for s in gone:
+            s.drop()
+
     def drop(self) -> None:
         """Delete the files; no later job may read them."""
         jvm = self.spark._jvm

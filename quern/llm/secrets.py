@@ -189,12 +189,16 @@ def surprise(token: str, model: np.ndarray) -> float:
 
     P(ordinary) / P(uniform) is the inverse of a mean-one statistic, so by
     Markov's inequality it is a p-value; the choice of one of the encodings is
-    paid for by their number.
+    paid for by their number.  Any number is ordinary: digits that begin the
+    token or follow digits have a tenth of the probability each, or what the
+    corpus says if that is more.
     """
     code = _CODES[np.frombuffer(token.encode(), np.uint8)].astype(np.int64)
     before = np.concatenate([[_START], code[:-1]])
     word = code < 62
-    log = model[before[word], code[word]].sum() + (~word).sum() * math.log(BETWEEN / 4)
+    steps = model[before[word], code[word]]
+    number = (code[word] < 10) & ((before[word] < 10) | (np.flatnonzero(word) == 0))
+    log = np.where(number, np.maximum(steps, -math.log(10)), steps).sum() + (~word).sum() * math.log(BETWEEN / 4)
     size = len(_encoding(token)[1])
     return -(log + len(token) * math.log(size) + math.log(len(ENCODINGS))) / math.log(10)
 

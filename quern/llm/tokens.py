@@ -17,6 +17,8 @@ from .common import spans_of
 
 #: At so many words, or pieces of words, a table of known ones starts anew.
 MOST_WORDS, MOST_PIECES = 400_000, 700_000
+#: Pieces that are encoded together.
+TOGETHER = 100
 #: Marks that may follow the letters of a plain word; each is a piece of its own.
 _MARKS = frozenset(".,;:!?")
 #: Letters whose lower case depends on what follows, or takes two code points.
@@ -46,6 +48,10 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(file)
         self.inner.encode_special_tokens = special_as_text
+        # Pieces are encoded many at once, with a special token between them that none of them holds.
+        self.many = Tokenizer.from_file(file)
+        special = {t.content: i for i, t in self.many.get_added_tokens_decoder().items() if t.special}
+        self.between, self.between_id = min(special.items(), default=("", -1))
         self._clear()
 
     @staticmethod
@@ -87,9 +93,8 @@ class WordTokenizer:
         new = self.pieces.new
         if not new:
             return
-        found = [e.ids for e in self.inner.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        parts = [self._encoded(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+        sizes, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
         while self.known + len(new) > len(self.sizes):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
         while self.used + len(flat) > len(self.ids):
@@ -101,6 +106,17 @@ class WordTokenizer:
         self.known, self.used = at.stop, self.used + len(flat)
         new.clear()
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each piece, and all ids in a row."""
+        joined = self.between.join(pieces)
+        if self.between and joined.count("<|") == len(pieces) - 1 == joined.count(self.between):
+            ids = np.array(self.many.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.between_id), len(ids))
+            return np.diff(ends, prepend=-1) - 1, ids[ids != self.between_id]
+        found = [e.ids for e in self.inner.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+
     def encode(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
         """The ids (uint32) of each text, with ``end_id`` after them if one is given."""
         if len(self.pieces) > MOST_PIECES:
@@ -115,16 +131,14 @@ class WordTokenizer:
                 out[i] = np.array(self.inner.encode(text, add_special_tokens=False).ids + end, np.uint32)
             else:
                 plain.append(i)
-        number = self.words.__getitem__
-        rows = [list(map(number, texts[i].split())) for i in plain]
+        words = [texts[i].split() for i in plain]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         self._learn()
-        for i, row in zip(plain, rows, strict=True):
-            pieces = self.parts[np.array(row, np.int64)].ravel()
-            pieces = pieces[pieces > 0]
-            sizes = self.sizes[pieces]
-            total = int(sizes.sum())
-            ids = np.empty(total + len(end), np.uint32)
-            ids[:total] = self.ids[np.repeat(self.starts[pieces], sizes) + spans_of(sizes)]
-            ids[total:] = end
-            out[i] = ids
+        pieces = self.parts[flat].ravel()
+        sizes = self.sizes[pieces]
+        ids = self.ids[np.repeat(self.starts[pieces], sizes) + spans_of(sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[2 * np.concatenate([[0], np.cumsum(counts)])]
+        for k, i in enumerate(plain):
+            out[i] = np.append(ids[ends[k] : ends[k + 1]], np.array(end, np.uint32))
         return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,10 +70,12 @@ def processed(queries: DataFrame, rules: Sequence[dict], stop: Sequence[str], co
 
 def vocabulary(rows: DataFrame, fields: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
     """Distinct (field, value) of plain and array columns, in one pass over ``rows``."""
-    plain = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]
-    pairs = F.array(*plain)
+    def pair(field: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(field).alias("field"), x.cast("string").alias("value"))
+
+    pairs = F.array(*(pair(f)(F.col(f)) for f in fields))
     for f in lists:
-        pairs = F.concat(pairs, F.transform(F.coalesce(f, F.array()), lambda x, f=f: F.struct(F.lit(f).alias("field"), x.cast("string").alias("value"))))
+        pairs = F.concat(pairs, F.transform(F.coalesce(F.col(f), F.array()), pair(f)))
     return rows.select(F.explode(pairs).alias("x")).select("x.*").where("value is not null").distinct()
 
 

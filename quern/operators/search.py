@@ -103,6 +103,11 @@ def cascade(levels: list[tuple[DataFrame, int]], queries: DataFrame) -> list[Dat
     return out
 
 
+def hit_line(fields: str, *values: Column, digits: int = 4) -> Column:
+    """A hit (rank, score) as a line: its rank, the named fields by a printf pattern, and the score."""
+    return F.format_string(f"%d. {fields}, score %.{digits}f", F.col("rank"), *values, F.col("score"))
+
+
 def with_payload(hits: DataFrame, payload: DataFrame) -> DataFrame:
     """Hits with what their nodes stand for: the parent card, the window, the original text (node_id, ...)."""
     return hits.join(payload, "node_id")

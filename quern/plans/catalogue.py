@@ -11,7 +11,7 @@ from ..functions.text import clean, words
 from ..functions.vectors import cosine, dot, negated_distance
 from ..operators import bm25, chunking, context, fusion, graph, prepare, refine, search
 from ..providers import HashedWords
-from ..sources import sinks
+from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -256,13 +256,6 @@ def exact_dedup(spark, sf_dir):
     return refine.exact_unique(docs, node="doc_id").select("key", "doc_id", "score")
 
 
-@query()
-def semantic_dedup(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    hits = search.top_k(nodes, _asked(nodes), 20).join(nodes.select("node_id", "vector"), "node_id")
-    return refine.semantic_unique(hits)
-
-
 @query(f"""WITH ref AS (SELECT {_V} AS v FROM embeddings WHERE vec_id = 0)
     SELECT doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], ref.v), 6) AS score FROM documents d JOIN labels l USING (doc_id) JOIN embeddings e ON e.vec_id = d.doc_id, ref
     WHERE quality >= 1 AND NOT contains(text, 'idiot') AND NOT contains(text, 'scum') AND text <> '' AND n_chars <= 5000 AND toxic <= 0 AND round(list_cosine_similarity(e.embedding::DOUBLE[], ref.v), 6) >= 0.05""")
@@ -344,12 +337,6 @@ def graph_paths(spark, sf_dir):
     return found.select("source", "target", (F.size("nodes") - 1).alias("edges"), graph.path_text().alias("path"))
 
 
-@query()
-def compress_context(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
-    return turns.select("conv_id", context.compressed(F.filter("t", lambda x: x.isNotNull())).alias("context"))
-
-
 _PROMPT = context.PROMPT.replace("'", "''").split("{context}")
 
 
@@ -361,14 +348,11 @@ def prompt_build(spark, sf_dir):
     return turns.select(F.col("conv_id").alias("query_id"), context.prompt(held, F.col("q")).alias("prompt"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_replace(coalesce(role, ''), '^\s+|\s+$', '', 'g') AS question, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS answer FROM conversations
+@query(r"""SELECT regexp_replace(coalesce(role, ''), '^\s+|\s+$', '', 'g') AS question, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS answer FROM conversations
     WHERE regexp_replace(coalesce(role, ''), '^\s+|\s+$', '', 'g') <> ''""")
 def qa_clean(spark, sf_dir):
-    from ..functions.text import strip
-
     rows = _table(spark, sf_dir, "conversations")
-    clean_rows = rows.select("conv_id", "turn", strip(F.coalesce("role", F.lit(""))).alias("question"), strip(F.coalesce("text", F.lit(""))).alias("answer"))
-    return clean_rows.where("question <> ''")
+    return readers.clean_questions(rows.select(F.col("role").alias("question"), F.col("text").alias("answer")))
 
 
 @query("SELECT * FROM (VALUES (1, 1, 9.0::DOUBLE), (1, 3, 4.5), (2, 2, 8.0), (4, 2, 10.0)) AS t(query_id, choice, relevance)")
@@ -377,11 +361,6 @@ def llm_rerank_parse(spark, sf_dir):
     return refine.parsed_ranking(answers)
 
 
-@query()
-def sample_rows(spark, sf_dir):
-    return sinks.exact_sample(_table(spark, sf_dir, "events"), "event_type", "event_id")
-
-
 @query("SELECT doc_id, len(w)::INTEGER AS n_words, len(list_distinct(w))::INTEGER AS n_distinct FROM (SELECT doc_id, " + _TOKENS + " AS w FROM documents)")
 def word_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))

@@ -47,7 +47,7 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     return split.select("file_path", F.element_at("lines", 1).alias("header"), F.posexplode(F.expr("slice(lines, 2, size(lines))")).alias("line_no", "line"))
 
 
-def question_answers(spark: SparkSession, path: str) -> DataFrame:
+def question_answers(spark: SparkSession, path: str, names: str = "*.csv") -> DataFrame:
     """Questions and answers of headerless CSV files in one of QA_ENCODINGS, cleaned.
 
     A file is decoded by the first encoding under which it is valid.  Null cells
@@ -61,7 +61,7 @@ def question_answers(spark: SparkSession, path: str) -> DataFrame:
                 continue
         raise ValueError("a file is in none of " + ", ".join(QA_ENCODINGS))
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)
     text = raw.select(F.udf(decoded)("content").alias("text"))
     rows = text.select(F.explode(F.udf(_cells, "array<array<string>>")("text")).alias("cells"))
     return clean_questions(rows.select(F.expr("try_element_at(cells, 1)").alias("question"), F.expr("try_element_at(cells, 2)").alias("answer")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..providers import Embedder
@@ -35,8 +35,11 @@ def create_if_missing(rows: DataFrame, name: str, dimension: int) -> None:
     checked(rows, dimension).write.mode("ignore").saveAsTable(name)
 
 
-def insert(rows: DataFrame, name: str, dimension: int) -> None:
-    checked(rows, dimension).write.mode("append").saveAsTable(name)
+def insert(rows: DataFrame, name: str, dimension: int) -> int:
+    """Append to a collection; the number of rows written."""
+    seen = Observation()
+    checked(rows, dimension).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").saveAsTable(name)
+    return seen.get["n"]
 
 
 def drop_collection(spark: SparkSession, name: str) -> None:
@@ -61,13 +64,17 @@ def index_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     return numbered(chunks, "doc_id", "chunk_index").select("id", embedder.column(F.col("text")).cast("array<float>").alias("vector"), "text")
 
 
-def exact_sample(rows: DataFrame, group: str, key: str, every: int = 1000, seed: int = 42) -> DataFrame:
-    """From each group max(1, n // every) rows, chosen by a seeded hash of ``key``.
+def exact_sample(rows: DataFrame, group: str, key: str, every: int = 1000, seed: int = 42, parts: int = 32) -> DataFrame:
+    """From each group max(1, n // every) rows, chosen by the MD5 of the seed and ``key``.
 
     The group's size decides how many rows it gives, so the sample is exact and
-    not Bernoulli; a row's rank depends on the seed and its key alone.
+    not Bernoulli; a row's rank depends on the seed and its key alone.  A group
+    is first cut to its wanted number in ``parts`` parts, so that one of very many
+    rows is not sorted in one task; null is a group of its own.
     """
-    sizes = rows.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / every)).alias("_take"))
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
-    ranked = rows.join(sizes, group).withColumn("_n", F.row_number().over(order))
-    return ranked.where("_n <= _take").drop("_n", "_take")
+    sizes = rows.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / every)).alias("_take")).withColumnRenamed(group, "_group")
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    ranked = rows.join(sizes, rows[group].eqNullSafe(F.col("_group"))).withColumn("_mark", mark).withColumn("_part", F.pmod(F.xxhash64("_mark"), F.lit(parts)))
+    for by in (["_group", "_part"], ["_group"]):
+        ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_mark", key))).where("_n <= _take")
+    return ranked.drop("_n", "_take", "_group", "_mark", "_part")

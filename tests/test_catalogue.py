@@ -3,7 +3,7 @@
 import pytest
 from oracle import rows_of_sql, same
 
-from quern.plans import catalogue
+from quern.plans import catalogue, flow_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))

@@ -16,7 +16,7 @@ import numpy as np
 from .common import spans_of
 
 #: At so many words, or pieces of words, a table of known ones starts anew.
-MOST_WORDS, MOST_PIECES = 400_000, 700_000
+MOST_WORDS, MOST_PIECES = 600_000, 1_100_000
 #: Pieces that are encoded together.
 TOGETHER = 100
 #: Marks that may follow the letters of a plain word; each is a piece of its own.

@@ -17,14 +17,13 @@ give each two neighbouring characters as a term.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +47,8 @@ _SPACELESS = re.compile(rf"[{_CJK}]")
 #: Documents in which a term must stand together with an entity before it can disclose it.
 SUPPORT = 3
 FILTER_BITS = 23
-#: Pairs of entity and term that a task holds before it sends them on.
-PAIRS = 1 << 18
+#: Pairs of entity and term, and counted entities and terms, that a task holds before it sends them on.
+PAIRS, COUNTED = 1 << 18, 300_000
 
 
 def _luhn(digits: str) -> bool:
@@ -93,9 +92,9 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-@lru_cache(1 << 16)
 def _hash(term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    n = xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
 
 
 def entities_of(kind: str, value: str) -> Iterator[str]:
@@ -141,15 +140,22 @@ def _places(rest: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each entity and each term, batch by batch."""
+    """Documents that hold each entity and each term, in parts of about COUNTED different ones."""
+
+    def made() -> Iterator[pa.RecordBatch]:
+        for kind, seen in (("entity", entities), ("term", terms)):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(seen), pa.string()), pa.array([_hash(x) for x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["kind", "key", "n"])
+            seen.clear()
+
+    entities, terms = Counter(), Counter()
     for batch in batches:
-        entities, terms = Counter(), Counter()
         for text in texts(batch):
             _, own, rest = _split(text)
             entities.update(own)
             terms.update(_terms(rest))
-        for kind, seen in (("entity", entities), ("term", terms)):
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(seen), pa.string()), pa.array([_hash(x) for x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["kind", "key", "n"])
+        if len(entities) + len(terms) > COUNTED:
+            yield from made()
+    yield from made()
 
 
 def _pairs(often, wanted):
@@ -196,14 +202,13 @@ def _scan(told):
         terms = np.unpackbits(np.frombuffer(told.value, np.uint8)).view(bool) if told else None
         near_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            base, near = [], []
-            for text in texts(batch):
-                own, _, rest = _split(text)
-                base.append(joined(own, KINDS))
-                names = list(_terms(rest)) if told else []
-                hashes = np.array([_hash(x) for x in names], np.int64)
-                some = {names[i]: int(hashes[i]) for i in np.flatnonzero(terms[_slot(hashes)])} if names else {}
-                near.append([{"term": some[t], "start": a, "end": b} for t, a, b in _places(rest) if t in some] if some else [])
+            split = [_split(text) for text in texts(batch)]
+            held = [_terms(rest) for _, _, rest in split] if told else [()] * len(split)
+            names = list(set().union(*held))
+            hashes = np.array([_hash(x) for x in names], np.int64)
+            some = {names[i]: int(hashes[i]) for i in np.flatnonzero(terms[_slot(hashes)])} if names else {}
+            base = [joined(own, KINDS) for own, _, _ in split]
+            near = [[{"term": some[t], "start": a, "end": b} for t, a, b in _places(rest) if t in some] if not some.keys().isdisjoint(h) else [] for (_, _, rest), h in zip(split, held, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.string()), pa.array(near, near_type)], names=["doc_id", "base", "near"])
 
     return run

@@ -34,6 +34,6 @@ def negated_distance(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector over its norm; a zero vector stays."""
-    size = norm(a)
-    return F.transform(doubles(a), lambda x: F.when(size > 0, x / size).otherwise(0.0))
+    """The vector over its norm, which is computed once for all components; a zero vector stays."""
+    v = doubles(a)
+    return F.zip_with(v, F.array_repeat(norm(a), F.size(v)), lambda x, size: F.when(size > 0, x / size).otherwise(0.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +70,26 @@ def recursive(docs: DataFrame, most: int = 512, tokens: Callable[[str], int] = d
         pieces = [p + mark for p in text.split(mark)]
         pieces[-1] = pieces[-1][: -len(mark)]
         out: list[str] = []
+        held = 0  # tokens of the last part, or a bound: two texts joined have no more words than both
         for piece in filter(None, pieces):
-            if out and tokens(out[-1] + piece) <= most:
+            own = tokens(piece)
+            if out and (subadditive and held + own <= most or (held := tokens(out[-1] + piece) - own) + own <= most):
                 out[-1] += piece
-            elif tokens(piece) <= most:
+                held += own
+            elif own <= most:
                 out.append(piece)
+                held = own
             else:
                 out += split(piece, level + 1)
+                held = tokens(out[-1])
         return out
 
-    cut = F.udf(lambda t: split(t) if t else [], "array<string>")
+    subadditive = tokens is default_tokens
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split(t) if t else [])
+
     return docs.select("doc_id", F.posexplode(cut("text")).alias("chunk_index", "text"))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import cosine, dot, unit
 
 #: Scores are compared after rounding, so that the order of a sum does not decide a rank.
 DIGITS = 6
+#: Numbers of all queries' vectors that may go to every task (32 MB).
+MOST_NUMBERS = 1 << 22
 
 
 def ranked(hits: DataFrame, k: int | None, by: str = "query_id", node: str = "node_id") -> DataFrame:
@@ -31,15 +37,69 @@ def _unit(rows: DataFrame, name: str) -> DataFrame:
 def top_k(nodes: DataFrame, queries: DataFrame, k: int = 5, measure: Callable[[Column, Column], Column] = cosine) -> DataFrame:
     """query_id, node_id, score, rank of the ``k`` best nodes (node_id, vector) for each query (query_id, query).
 
-    Every query is compared with every node: the join has no key, and Spark
-    sends the side it knows to be small (queries, usually) to all tasks.  Under
-    cosine a zero vector scores 0.
+    Every query is compared with every node.  Queries whose vectors take up to
+    MOST_NUMBERS numbers (counted first) go to all tasks as one matrix, which is
+    multiplied with blocks of nodes, and each task passes on its own ``k`` best
+    of a query; more queries are joined with the nodes, without a key.  Under
+    cosine a zero vector scores 0; vectors that are null, hold null or have
+    another length than the other side's take no part.
     """
     nodes, queries = nodes.select("node_id", "vector"), queries.select("query_id", "query")
+    if measure in (cosine, dot):
+        asked = queries.where("query is not null").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query")).alias("d")).first()
+        if asked["n"] * (asked["d"] or 0) <= MOST_NUMBERS:
+            return ranked(_multiplied(nodes, queries, k, measure is cosine), k)
     if measure is cosine:
         nodes, queries, measure = _unit(nodes, "vector"), _unit(queries, "query"), dot
     score = F.round(measure(F.col("vector"), F.col("query")), DIGITS)
-    return ranked(nodes.join(queries).select("query_id", "node_id", score.alias("score")).where("score is not null"), k)
+    # Null scores come last in a ranking; a filter before it would compute each product once more.
+    return ranked(nodes.join(queries).select("query_id", "node_id", score.alias("score")), k).where("score is not null")
+
+
+def _matrix(vectors: pa.Array, scale: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows of whole vectors by their length: places and matrix, scaled to length one on request."""
+    out = {}
+    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
+    for size in np.unique(sizes[sizes >= 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        flat = vectors.take(pa.array(at)).flatten().cast(pa.float64())
+        v = flat.to_numpy(zero_copy_only=False).reshape(len(at), size)
+        whole = ~pc.is_null(flat).to_numpy(zero_copy_only=False).reshape(len(at), size).any(axis=1)
+        at, v = at[whole], v[whole]
+        if scale:
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = np.where(norm > 0, v / np.where(norm > 0, norm, 1), 0.0)
+        out[size] = (at, v)
+    return out
+
+
+def _multiplied(nodes: DataFrame, queries: DataFrame, k: int, scale: bool) -> DataFrame:
+    """The ``k`` best nodes of each query in each batch, by products of matrices."""
+    asked = queries.where("query is not null").toArrow()  # at most MOST_NUMBERS numbers
+    ids = asked.column("query_id").combine_chunks() if asked.num_rows else asked.column("query_id")
+    held = _matrix(asked.column("query").combine_chunks(), scale) if asked.num_rows else {}
+    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("node_id", nodes.schema["node_id"].dataType), T.StructField("score", T.DoubleType())])
+    shared = nodes.sparkSession.sparkContext.broadcast((pa.table({"query_id": ids}), held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = shared.value
+        names = own.column("query_id").combine_chunks()
+        for batch in batches:
+            for size, (at, v) in _matrix(batch.column("vector"), scale).items():
+                places, matrix = rows.get(size, (np.zeros(0, int), None))
+                if not len(places) or not len(at):
+                    continue
+                key = batch.column("node_id").take(pa.array(at))
+                order = pc.sort_indices(key).to_numpy()  # ties go to the first node
+                key, v = key.take(pa.array(order)), v[order]
+                step = max(1, (1 << 22) // len(v))
+                for lo in range(0, len(places), step):
+                    score = np.round(matrix[lo : lo + step] @ v.T, DIGITS)
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k] if k < len(v) else np.tile(np.arange(len(v)), (len(score), 1))
+                    q = np.repeat(places[lo : lo + step], best.shape[1])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), key.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel() + 0.0)], names=["query_id", "node_id", "score"])
+
+    return nodes.where("vector is not null").mapInArrow(run, kinds)
 
 
 def top_one(nodes: DataFrame, vector: Column, k: int = 5, measure: Callable[[Column, Column], Column] = cosine) -> DataFrame:

@@ -20,7 +20,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
-            row = np.full(max(n, 1 << 21), base, np.uint64)
+            row = np.full(max(n, 1 << 20), base, np.uint64)
             row[0] = 1
             _powers[i] = np.multiply.accumulate(row)
     return _powers[0][:n], _powers[1][:n]

@@ -35,8 +35,10 @@ PREFIXES = (0, 4, 5, 6, 7, 8, 9)
 LABELLED, INDUCED = 8000, 300
 #: Rounds of expectation maximisation without and with dependences.
 ROUNDS = 6
-#: Parts in which the votes of all documents are summed.
-PARTS = 64
+#: Different votes that a task sums, and the most tasks that sum them.
+PART_ROWS, PARTS = 20_000, 64
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 18
 _GAPS = np.ones(256, bool)
 _GAPS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _PATTERNS = 3
@@ -257,7 +259,7 @@ def _marks(only: np.ndarray | None, wanted: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.filter(pc.equal(batch.column("toxic"), wanted)).column("text")
-            for lo, hi in text_slices(column):
+            for lo, hi in text_slices(column, SLICE):
                 found, n = np.unique(_documents_with(*text_bytes(column.slice(lo, hi - lo)), only), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["mark", "n"])
 
@@ -286,7 +288,7 @@ def induced(sample: DataFrame, one: int, two: int) -> np.ndarray:
 def _packed(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Range of rows, their votes packed to bits, and the lengths of their texts."""
     column = batch.column("text")
-    for lo, hi in text_slices(column):
+    for lo, hi in text_slices(column, SLICE):
         raw, offsets = text_bytes(column.slice(lo, hi - lo))
         yield lo, hi, np.packbits(model.votes(raw, offsets) > 0, axis=1), np.diff(offsets)
 
@@ -346,11 +348,15 @@ def over_all(patterns: DataFrame, voters: int, any_label: bool) -> LabelModel:
                         t += (votes * (p * n)[:, None].astype(np.float32)).T @ votes
             yield pa.RecordBatch.from_arrays([pa.array(range(2 * voters), pa.int32()), pa.array([r.tobytes() for r in total.reshape(2 * voters, voters)], pa.binary())], names=["row", "sums"])
 
-        def add(frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"row": frame["row"].iloc[:1], "sums": [np.sum([np.frombuffer(x, np.float32) for x in frame["sums"]], axis=0, dtype=np.float32).tobytes()]})
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for row, sums in zip(batch.column("row").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                    held[row] = held.get(row, 0) + np.frombuffer(sums, np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["row", "sums"])
 
         found = np.zeros((2 * voters, voters))
-        for r in patterns.mapInArrow(run, "row int, sums binary").groupBy("row").applyInPandas(add, "row int, sums binary").collect():  # one row a voter and class
+        for r in patterns.mapInArrow(run, "row int, sums binary").repartition("row").mapInArrow(add, "row int, sums binary").collect():  # one row a voter and class
             found[r["row"]] = np.frombuffer(r["sums"], np.float32)
         return found.reshape(2, voters, voters)
 
@@ -376,7 +382,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     model = Model(np.unique(np.concatenate([fixed, induced(sample, sizes.get(1, 0), sizes.get(0, 0))])), np.zeros(0), 0.0)
     voters = 2 * len(model.voters) + _PATTERNS
     votes = docs.join(F.broadcast(told), "doc_id", "left").select("text", "toxic").mapInArrow(_patterns(model), "votes binary, toxic int, n long")
-    patterns = Stored(votes.groupBy("votes", "toxic").agg(F.sum("n").alias("n")).coalesce(PARTS), "patterns").df.coalesce(PARTS)
+    patterns = Stored(votes.groupBy("votes", "toxic").agg(F.sum("n").alias("n")), "patterns").df
+    patterns = patterns.coalesce(min(PARTS, 1 + patterns.count() // PART_ROWS))
     model.labels = over_all(patterns, voters, bool(sizes))
     rows = sorted((r["doc_id"], r["toxic"], bytes(r["votes"]), r["size"], 1) for r in sample.mapInArrow(_sample_votes(model), "doc_id long, toxic int, votes binary, size long").toLocalIterator())
     if not rows:  # no label: learn from the lexicon's posteriors over the commonest votes
@@ -391,7 +398,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            parts = [model.scores(*text_bytes(column.slice(lo, hi - lo))) for lo, hi in text_slices(column)]
+            parts = [model.scores(*text_bytes(column.slice(lo, hi - lo))) for lo, hi in text_slices(column, SLICE)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -421,7 +428,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def score(text):
         column = pa.array(text, pa.string(), from_pandas=True)
-        parts = [model.scores(*text_bytes(column.slice(lo, hi - lo))) for lo, hi in text_slices(column)]
+        parts = [model.scores(*text_bytes(column.slice(lo, hi - lo))) for lo, hi in text_slices(column, SLICE)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.where(score(F.col("text").cast("string")) < 0.5)

@@ -108,7 +108,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
 
 
-def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``most`` characters each (longer rows stand alone)."""
     start, size = 0, 0
     for i, n in enumerate(pc.binary_length(column.cast(pa.large_binary())).to_pylist()):

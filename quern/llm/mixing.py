@@ -86,11 +86,11 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds ``before``: the size of all rows of the same source ahead, by doc_id.
 
-    Each source is spread by a hash over as many parts as the table has
-    PART_ROWS; parts are summed first, so that the running sum of a hot source
+    Each source is spread by a hash over 256 parts, and one more for every
+    PART_ROWS rows of the table; parts are summed first, so that the running sum of a hot source
     is taken in many tasks.
     """
-    parts = 16 + rows.count() // PART_ROWS
+    parts = 256 + rows.count() // PART_ROWS
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)).cast("int"))
     by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("sum"))

@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Rounds in which wrapped headings of slides are unwrapped.
+ROUNDS = 8
+
+
 def strip(text: Column) -> Column:
     """Without white space (of all Unicode) at both ends."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
@@ -39,16 +43,17 @@ def clean_slides(text: Column) -> Column:
 
     Wrapped headings are unwrapped until none is left; as every other mark goes
     in the end, unwrapping only changes white space beside marks, and each round
-    takes two marks, so ROUNDS rounds settle lines of up to twice as many.
+    takes two marks of a pair, so ROUNDS rounds settle lines of up to twice as
+    many; marks beyond them go too, with the white space beside them kept.
     """
-    rounds = 8
+    # The patterns and what takes their place, in their order.
     steps = [
         (r"(?m)^Title:\s*.+\s*$", ""),
         (r"(?m)^-{3,}\s*$", ""),
         (r"(?m)^\[Speaker Notes\]:\s*", ""),
         (r"(?m)^#\s*\*\*(.+?)\*\*\s*$", "$1"),
         (r"\*\*(.+?)\*\*", "$1"),
-        *[(r"#\s*(.+?)\s*#", "$1")] * rounds,
+        *[(r"#\s*(.+?)\s*#", "$1")] * ROUNDS,
         (r"(?m)^#\s+", ""),
         (r"#\s*$", ""),
         (r"\s+#\s+", ""),

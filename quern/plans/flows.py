@@ -104,8 +104,10 @@ def graph_answers(domains: DataFrame, queries: DataFrame, embedder: Embedder, ge
     asked = queries.select("query_id", "text", prepare.picked(reply, [d["id"] for d in told]).alias("domain_id")).where("domain_id is not null")
     edges = graph.relations(domains)
     names = domains.select(F.col("id").alias("domain_id"), F.posexplode("entities").alias("ordinal", "e")).select("domain_id", "ordinal", F.col("e.name").alias("name"))
-    by_path = graph.answers(graph.entities_in(asked, names, edges), edges)
-    rest = asked.join(by_path, "query_id", "left_anti")
+    entities = graph.entities_in(asked, names, edges)
+    by_path = graph.answers(entities, edges)
+    # Two entities always give an answer, so the paths need not be sought to know who has one.
+    rest = asked.join(entities.groupBy("query_id").count().where("count > 1"), "query_id", "left_anti")
     nodes = names.withColumn("vector", embedder.column(F.col("name")))
     pairs = rest.withColumn("query", embedder.column(F.col("text"))).join(nodes, "domain_id")
     near = search.ranked(pairs.select("query_id", "domain_id", "name", F.round(search.cosine(F.col("vector"), F.col("query")), 6).alias("score")), k, node="name")

@@ -346,6 +346,41 @@ def test_top_k(spark, shard_rows, monkeypatch):
     assert topk_search.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+@pytest.fixture(scope="module")
+def clustered():
+    """2,000 vectors in 20 clusters far apart, a third of all one vector."""
+    r = np.random.default_rng(8)
+    v = r.normal(0, 1, (20, 6)).repeat(100, axis=0) * 4 + r.normal(0, 0.05, (2000, 6))
+    v[r.random(2000) < 0.33] = v[0]
+    return v[r.permutation(2000)]
+
+
+def test_top_k_of_clusters_and_a_hot_vector(spark, clustered, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 100)
+    sent, own = [], topk_search._in_shards
+    monkeypatch.setattr(topk_search, "_in_shards", lambda vectors, queries, k, shards: sent.append((queries.count(), vectors.groupBy("shard").count().agg(F.max("count")).head()[0], shards)) or own(vectors, queries, k, shards))
+    df = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(clustered)], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * clustered).astype(np.int64)
+    want = set()
+    for q in range(0, 2000, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {(x.query_id, x["rank"], x.vec_id, x.score) for x in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()} == want
+    (asked, largest, shards), (away, _, _) = sent
+    assert asked == 40 and shards >= 20 and largest < 200
+    assert away < 40 * (shards - 1) / 2  # boxes that cannot reach the k-th score are not asked
+
+
+def test_cells_take_all_rows():
+    r = np.random.default_rng(9)
+    rows = r.integers(-9, 9, (2000, 4))
+    cells = topk_search.Cells(rows, 12)
+    assert len(set(cells.of(rows).tolist())) == 12 and np.bincount(cells.of(rows)).max() < 500
+    assert topk_search.Cells(rows[:0], 5).of(rows).tolist() == [0] * 2000
+    assert set(topk_search.Cells(np.ones((50, 4)), 5).of(rows).tolist()) == {0}
+    assert topk_search.Cells(np.zeros((3, 0)), 5).of(np.zeros((2, 0))).tolist() == [0, 0]
+
+
 def test_kd_tree_boxes_hold_their_rows():
     r = np.random.default_rng(7)
     tree = topk_search.KDTree(np.arange(3000), r.integers(-99, 99, (3000, 5)))

@@ -69,3 +69,11 @@ def test_cascade_by_blocks(spark, small_blocks):
     above = _top([(i, v, 0) for i, v in top], [(q, v, {0}) for q, v, _ in asked], 1)
     _same(first.collect(), above)
     _same(last.collect(), _top(nodes, [(q, v, {above[q, 1][0]}) for q, v, _ in asked], 5))
+
+
+def test_routed_by_blocks(spark, small_blocks):
+    nodes, asked = _rows(200, 3), _rows(40, 4)
+    routes = [(q, x) for q, _, label in asked for x in ((label,) if q % 3 else (0, 1, 1, 9))]
+    found = search.routed(spark.createDataFrame(nodes, NODES), spark.createDataFrame(asked, ASKED).drop("label"), spark.createDataFrame(routes, "query_id long, label int"), "label")
+    _plain(found)
+    _same(found.collect(), _top(nodes, [(q, v, {x for p, x in routes if p == q}) for q, v, _ in asked], 5))

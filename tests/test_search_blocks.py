@@ -77,3 +77,19 @@ def test_routed_by_blocks(spark, small_blocks):
     found = search.routed(spark.createDataFrame(nodes, NODES), spark.createDataFrame(asked, ASKED).drop("label"), spark.createDataFrame(routes, "query_id long, label int"), "label")
     _plain(found)
     _same(found.collect(), _top(nodes, [(q, v, {x for p, x in routes if p == q}) for q, v, _ in asked], 5))
+
+
+def test_metrics_by_blocks(spark, small_blocks):
+    nodes, asked = _rows(120, 7), _rows(30, 8)
+    found = search.metrics(spark.createDataFrame(nodes, NODES), spark.createDataFrame(asked, ASKED), "label").collect()
+    pairs = {(r.query_id, r.node_id): r for r in found}
+    assert len(pairs) == len(found) == sum(a[2] is not None and a[2] == b[2] for a in asked for b in nodes)
+    by_id, of = {i: v for i, v, _ in nodes}, {i: v for i, v, _ in asked}
+    for (q, n), r in pairs.items():
+        a, b = of[q], by_id[n]
+        assert repr(r.cosine) == repr(_cosine(a, b))
+        if a is None or b is None or len(a) != len(b) or None in a + b:
+            assert r.dot is None and r.negated_distance is None
+        else:
+            assert repr(r.dot) == repr(round(sum(x * y for x, y in zip(a, b, strict=True)), 6) + 0.0)
+            assert repr(r.negated_distance) == repr(round(-math.dist(a, b), 5) + 0.0)

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import search
 
@@ -79,6 +80,15 @@ def test_routed_by_blocks(spark, small_blocks):
     _same(found.collect(), _top(nodes, [(q, v, {x for p, x in routes if p == q}) for q, v, _ in asked], 5))
 
 
+def test_generated_labels_by_blocks(spark, small_blocks):
+    nodes, asked = _rows(120, 5), _rows(30, 6)
+    routes = [(q, " 1 " if q % 2 else "0") for q, _, _ in asked]
+    held = spark.createDataFrame(nodes, NODES).withColumn("label", F.col("label").cast("string"))
+    found = search.routed(held, spark.createDataFrame(asked, ASKED).drop("label"), spark.createDataFrame(routes, "query_id long, label string"), "label", k=3)
+    _plain(found)
+    _same(found.collect(), _top(nodes, [(q, v, {q % 2}) for q, v, _ in asked], 3))
+
+
 def test_metrics_by_blocks(spark, small_blocks):
     nodes, asked = _rows(120, 7), _rows(30, 8)
     found = search.metrics(spark.createDataFrame(nodes, NODES), spark.createDataFrame(asked, ASKED), "label").collect()

@@ -13,12 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few megabytes, however long the texts are; plans made from now on use them."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+from ..session import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,18 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_literal_filters_meet_each_field_once(spark):
+    vocab = spark.createDataFrame(VOCAB, "field string, value string")
+    found = prepare.literal_filters(spark.createDataFrame(ASKED, "query_id int, text string"), vocab)
+    want = {}
+    for q, text in ASKED:
+        for f, v in VOCAB:
+            if text is not None and v in text:
+                want[q, f] = min(want.get((q, f), (0, v)), (-len(v), v))
+    assert sorted(map(str, found.collect())) == sorted(str(r) for r in spark.createDataFrame([(q, f, v) for (q, f), (_, v) in want.items()], "query_id int, field string, value string").collect())
+    assert "collect_list" in _plan(found)
+
+
 SEMANTIC_VOCAB = [("a", "m", [1.0, 0.0]), ("a", "k", [1.0, 0.0]), ("a", "n", [0.0, 1.0]), ("a", "o", [0.0, 0.0]), ("a", "p", None), ("b", "m", [1.0, 1.0]), ("c", "m", [0.0, 1.0]), ("c", "x", [0.0, 1.0])]
 
 

@@ -103,3 +103,15 @@ def test_metrics_by_blocks(spark, small_blocks):
         else:
             assert repr(r.dot) == repr(round(sum(x * y for x, y in zip(a, b, strict=True)), 6) + 0.0)
             assert repr(r.negated_distance) == repr(round(-math.dist(a, b), 5) + 0.0)
+
+
+def test_top_k_of_many_copies_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(search, "NODE_NUMBERS", 60)
+    nodes = [(i, [float(i % 3), 1.0], 0) for i in range(500)]
+    asked = [(1, [1.0, 1.0], 0), (2, [0.0, 2.0], 0), (3, [0.0, 0.0], 0)]
+    want = {(q, i + 1): x for q, v, _ in asked for i, x in enumerate(sorted((-(_cosine(v, w) or 0.0), n) for n, w, _ in nodes)[:7])}
+    for most in (search.MOST_NUMBERS, 1):  # as one matrix, and by blocks
+        monkeypatch.setattr(search, "MOST_NUMBERS", most)
+        found = search.top_k(spark.createDataFrame(nodes, NODES), spark.createDataFrame(asked, ASKED), 7)
+        assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r.query_id, r.rank): (-r.score + 0.0, r.node_id) for r in found.collect()} == {k: (s + 0.0, n) for k, (s, n) in want.items()}
